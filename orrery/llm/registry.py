@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orrery.llm.packing import op9_grouping_genetic_packing
 from orrery.llm.secrets import op1_secret_scan
 from orrery.llm.tokens import op7_forced_boundary_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secret_scan": op1_secret_scan, "op7_forced_boundary_bpe": op7_forced_boundary_bpe}
+    return {
+        "op1_secret_scan": op1_secret_scan,
+        "op7_forced_boundary_bpe": op7_forced_boundary_bpe,
+        "op9_grouping_genetic_packing": op9_grouping_genetic_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

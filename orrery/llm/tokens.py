@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from orrery.llm.common import table
 
 SPACE = re.compile(r"[ \t\n\r]+")
+#: Letters that NFC leaves alone and that one table maps to lower case and byte letters, then marks without apostrophes.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 CACHED = 200_000  # fragments kept by a worker
 LONGEST = 48  # characters of a fragment that is kept
 
@@ -49,9 +51,26 @@ class Encoder:
             self.strings[i] = token
         #: Pairs that occur inside a token: all others force a cut.
         self.joined = {(a, b) for t in model["vocab"] for bare in [t.removesuffix(self.suffix) if self.suffix else t] for a, b in zip(bare, bare[1:])}
+        self.plain = {ord(c): "".join(self.letter(b) for b in c.lower().encode()) for c in map(chr, range(256)) if PLAIN.fullmatch(c)}
         self.words: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[int, ...]] = {}
 
+    @staticmethod
+    def letter(byte: int) -> str:
+        """The letter that byte-level vocabularies write for a byte: itself if it prints, else one from U+0100 on."""
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        return chr(byte) if byte in shown else chr(0x100 + byte - sum(b < byte for b in shown))
+
+    def kept(self, word: str) -> tuple[int, ...]:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.word(word)
+            if len(word) <= LONGEST:
+                if len(self.words) >= CACHED:
+                    self.words.clear()
+                self.words[word] = ids
+        return ids
+
     def word(self, word: str) -> tuple[int, ...]:
         """Ids of a word of byte letters: the fragments between forced cuts, encoded one by one."""
         joined, at, out = self.joined, 0, []
@@ -64,20 +83,13 @@ class Encoder:
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
         """Ids of a stretch without spaces, tabs or line ends."""
+        if m := PLAIN.fullmatch(chunk):
+            ids = self.kept(m[1].translate(self.plain))
+            return ids + self.kept(m[2]) if m[2] else ids
         if any(s in chunk for s in self.special):
             return tuple(self.whole.encode(chunk, add_special_tokens=False).ids)
         clean = self.whole.normalizer.normalize_str(chunk) if self.whole.normalizer else chunk
-        out: list[int] = []
-        for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(clean):
-            ids = self.words.get(w)
-            if ids is None:
-                ids = self.word(w)
-                if len(w) <= LONGEST:
-                    if len(self.words) >= CACHED:
-                        self.words.clear()
-                    self.words[w] = ids
-            out += ids
-        return tuple(out)
+        return tuple(chain.from_iterable(self.kept(w) for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(clean)))
 
     def parts(self, text: str) -> list[tuple[int, ...]]:
         """Ids of each stretch of a text."""
