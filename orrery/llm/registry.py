@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orrery.llm.langid import op4_language_bitmask_filters
 from orrery.llm.packing import op9_grouping_genetic_packing
 from orrery.llm.secrets import op1_secret_scan
 from orrery.llm.tokens import op7_forced_boundary_bpe
@@ -14,6 +15,7 @@ from orrery.llm.tokens import op7_forced_boundary_bpe
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op4_language_bitmask_filters": op4_language_bitmask_filters,
         "op7_forced_boundary_bpe": op7_forced_boundary_bpe,
         "op9_grouping_genetic_packing": op9_grouping_genetic_packing,
     }
