@@ -199,6 +199,11 @@ def fit(docs: DataFrame, labels: DataFrame, spark: SparkSession, most: int = SAM
     bad = dict(zip(top["feature"], top["n"]))
     good = {r["feature"]: r["n"] for r in _counted(clean, set(bad), "n").collect()} if bad else {}
     pure = {f for f, n in bad.items() if n / (n + good.get(f, 0)) >= PURE}
+    single: Counter = Counter()  # of a stem, the most documents that one word has
+    for f, n in bad.items():
+        for k in STEMS if not f.endswith("*") else ():
+            single[f[:k] + "*"] = max(single[f[:k] + "*"], n) if len(f) > k else 0
+    pure -= {f for f in pure if f.endswith("*") and single[f] > 0.6 * bad[f]}
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
