@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orrery.llm.fingerprints import op10_closed_syncmers
 from orrery.llm.langid import op4_language_bitmask_filters
 from orrery.llm.packing import op9_grouping_genetic_packing
 from orrery.llm.secrets import op1_secret_scan
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_forced_boundary_bpe": op7_forced_boundary_bpe,
         "op8_weighted_clause_grammar": op8_weighted_clause_grammar,
         "op9_grouping_genetic_packing": op9_grouping_genetic_packing,
+        "op10_closed_syncmers": op10_closed_syncmers,
     }
 
 
