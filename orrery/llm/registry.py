@@ -12,12 +12,14 @@ from orrery.llm.packing import op9_grouping_genetic_packing
 from orrery.llm.secrets import op1_secret_scan
 from orrery.llm.substrings import op6_repeated_phrase_automata
 from orrery.llm.tokens import op7_forced_boundary_bpe
+from orrery.llm.topk import OP3_SQL, op3_no_random_access_topk
 from orrery.llm.toxicity import op8_weighted_clause_grammar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op3_no_random_access_topk": op3_no_random_access_topk,
         "op4_language_bitmask_filters": op4_language_bitmask_filters,
         "op6_repeated_phrase_automata": op6_repeated_phrase_automata,
         "op7_forced_boundary_bpe": op7_forced_boundary_bpe,
@@ -28,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_no_random_access_topk": OP3_SQL}
