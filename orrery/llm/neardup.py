@@ -165,6 +165,17 @@ def link(docs: DataFrame, spark: SparkSession, percent: int = 85) -> DataFrame:
     return signed.select("doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo"], "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def without_copies(docs: DataFrame, spark: SparkSession, percent: int = 85) -> DataFrame:
+    """``docs`` with one row of each component: that of the least doc_id, as it is. Rows without doc_id stay."""
+    found = link(docs, spark, percent)
+    stays = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    stays, _ = put(stays, spark, "stays")
+    kept = docs.join(stays.select("doc_id"), "doc_id", "left_semi")
+    if stays.where("rows > 1").limit(1).count():  # repeated rows of one id
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
 def op5_signature_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = link(table(spark, sf_dir, "documents"), spark)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,8 +65,7 @@ def _scan(key, docs: pd.DataFrame, recurring: pd.DataFrame) -> pd.DataFrame:
     if len(automaton):
         automaton.make_automaton()
     rows = []
-    for doc_id, text, (words, h, hit) in zip(docs["doc_id"], docs["text"], read):
-        text = "" if text is None else text
+    for doc_id, rid, text, (words, h, hit) in zip(docs["doc_id"], docs["rid"], docs["text"], read):
         if hit.any():
             starts = np.zeros(len(words) + 1, np.int64)
             starts[located(words, automaton) + 1] = 1
@@ -75,17 +73,19 @@ def _scan(key, docs: pd.DataFrame, recurring: pd.DataFrame) -> pd.DataFrame:
             at = np.flatnonzero(hit)
             at = at[before[at + WINDOW - PHRASE + 1] > before[at]]
             a, b = rolled(h, WINDOW), rolled(h, WINDOW, 0xC2B2AE3D27D4EB4F)
-            rows.append((doc_id, xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1, text, None, at.astype(np.int32), a[at].view(np.int64), b[at].view(np.int64)))
+            rows.append((doc_id, rid, text, None, at.astype(np.int32), a[at].view(np.int64), b[at].view(np.int64)))
         else:
-            rows.append((doc_id, 0, None, len(words), None, None, None))
-        if not hit.any():
-            rows[-1] = (*rows[-1][:2], hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest(), *rows[-1][3:])
+            rows.append((doc_id, rid, _digest(words), len(words), None, None, None))
     return pd.DataFrame(rows, columns=["doc_id", "rid", "text", "n_words", "at", "a", "b"])
 
 
 SCANNED = "doc_id long, rid long, text string, n_words long, at array<int>, a array<long>, b array<long>"
 
 
+def _digest(words: list[str]) -> str:
+    return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def covered(n: int, at) -> np.ndarray:
     """Which of n words a window that starts at one of ``at`` covers."""
     steps = np.zeros(n + 1, np.int64)
@@ -95,26 +95,26 @@ def covered(n: int, at) -> np.ndarray:
     return np.cumsum(steps[:n]) > 0
 
 
-def repeats(docs: DataFrame, spark: SparkSession, carry: bool = False) -> tuple[DataFrame, DataFrame, list[str]]:
+def repeats(docs: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """Scanned documents, and for each that loses words the starts of the windows that remove them.
 
     ``scanned`` has a row for each document: with its text if windows of it may recur, else with its number of
     words and the digest of its kept words in ``text``.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("rid"))
     shards = max(1, math.ceil(rows.count() / SHARD))
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
-    anchors, held = put(rows.mapInPandas(_anchors, "anchor long, doc_id long"), spark, "anchors")
+    anchors, held = put(rows.select("doc_id", "text").mapInPandas(_anchors, "anchor long, doc_id long"), spark, "anchors")
     recurring = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     phrases, kept = put(anchors.join(recurring, "anchor").select(shard.alias("shard"), "anchor").distinct(), spark, "phrases")
     drop(spark, held)
     dealt = rows.withColumn("shard", shard)
-    scanned, path = put(dealt.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInPandas(_scan, SCANNED), spark, "scanned")
+    scanned, _ = put(dealt.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInPandas(_scan, SCANNED), spark, "scanned")
     drop(spark, kept)
     windows = scanned.where("at is not null").select("doc_id", "rid", F.explode(F.arrays_zip("at", "a", "b")).alias("w")).select("doc_id", "rid", "w.at", "w.a", "w.b")
     first = windows.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a", "b", "low")
     lost = windows.join(first, ["a", "b"]).where("doc_id > low").groupBy("doc_id", "rid").agg(F.collect_set("at").alias("lost"))
-    return scanned, lost, [path]
+    return scanned, lost
 
 
 def dedup(docs: DataFrame, spark: SparkSession) -> DataFrame:
@@ -123,7 +123,7 @@ def dedup(docs: DataFrame, spark: SparkSession) -> DataFrame:
     Null and empty texts have no words. Rows of one doc_id don't remove each other's words; a row without doc_id
     neither loses nor removes any. Extra columns go; an empty table gives an empty one.
     """
-    scanned, lost, _ = repeats(docs, spark)
+    scanned, lost = repeats(docs, spark)
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -131,8 +131,7 @@ def dedup(docs: DataFrame, spark: SparkSession) -> DataFrame:
             for doc_id, text, at in zip(batch["doc_id"], batch["text"], batch["lost"]):
                 words = words_of(text)
                 gone = covered(len(words), at)
-                kept = " ".join([w for w, g in zip(words, gone.tolist()) if not g])
-                out.append((doc_id, len(words), int(gone.sum()), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()))
+                out.append((doc_id, len(words), int(gone.sum()), _digest([w for w, g in zip(words, gone.tolist()) if not g])))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     some = scanned.where("at is not null").select("doc_id", "rid", "text").join(lost, ["doc_id", "rid"], "left").select("doc_id", "text", "lost")
@@ -141,5 +140,28 @@ def dedup(docs: DataFrame, spark: SparkSession) -> DataFrame:
     return some.unionByName(none)
 
 
+def without_repeats(docs: DataFrame, spark: SparkSession) -> DataFrame:
+    """``docs`` without the words that repeat a smaller doc_id; ``n_chars`` follows.
+
+    A text that loses none stays as it is; else its kept words are joined by blanks. A row whose every word is a
+    repeat goes.
+    """
+    _, lost = repeats(docs, spark)
+
+    def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, stays = [], []
+            for text, at in zip(batch["text"], batch["lost"]):
+                if at is not None:
+                    words = words_of(text)
+                    text = " ".join([w for w, g in zip(words, covered(len(words), at).tolist()) if not g])
+                texts.append(text)
+                stays.append(at is None or bool(text))
+            yield batch.assign(text=texts)[stays].drop(columns=["rid", "lost"])
+
+    both = docs.withColumn("rid", F.xxhash64("text")).join(lost, ["doc_id", "rid"], "left").select(*docs.columns, "rid", "lost")
+    return both.mapInPandas(cut_out, docs.schema).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_repeated_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"), spark)
