@@ -1,4 +1,4 @@
 """The engine's own queries; importing the modules registers them."""
 
-from orrery.plans import corpus, lookups  # noqa: F401
+from orrery.plans import corpus, lookups, signals  # noqa: F401
 from orrery.plans.base import QUERIES, SQL  # noqa: F401
