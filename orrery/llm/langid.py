@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import table
+from orrery.llm.common import keyed, table, unkeyed
 
 SIZES = (2, 3, 4)  # letters of an n-gram; a run of other characters counts as one blank
 PER_LANGUAGE = 1500
@@ -149,8 +149,7 @@ def identify(docs: DataFrame, spark: SparkSession, model: Filter | None = None)
             found = [model.predict(t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return unkeyed(keyed(docs).mapInPandas(run, "doc_id long, lang_pred string, score double"))
 
 
 def op4_language_bitmask_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

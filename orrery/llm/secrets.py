@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import cut
+from orrery.llm.common import cut, keyed, unkeyed
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -141,8 +141,7 @@ def find_secrets(docs: DataFrame, spark: SparkSession, q: float = 1e-3) -> DataF
     A null text counts as empty. Rows are independent but for the thresholds, so ties and repeated rows need no
     rule; an empty table gives an empty one.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = cut(rows.mapInPandas(_scan, SCANNED), spark, "secrets")
+    scanned = cut(unkeyed(keyed(docs).mapInPandas(_scan, SCANNED)), spark, "secrets")
     least = {r["klass"]: r["least"] for r in thresholds(scanned, q).collect()}  # a row for each class of lengths
     limit = F.create_map(*[F.lit(x) for kv in least.items() for x in kv]) if least else F.lit(None).cast("map<int,int>")
     sure = F.filter("tests", lambda t: t["bin"] >= F.coalesce(limit[t["klass"]], F.lit(BINS + 1)))
@@ -175,7 +174,7 @@ def redact(docs: DataFrame, spark: SparkSession, q: float = 1e-3) -> DataFrame:
 
     The texts are scanned twice, once for the thresholds and once to replace, and never shuffled.
     """
-    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_scan, SCANNED)
+    scanned = keyed(docs).mapInPandas(_scan, SCANNED)
     least = {r["klass"]: r["least"] for r in thresholds(scanned, q).collect()}
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

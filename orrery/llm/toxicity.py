@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import put, table
+from orrery.llm.common import keyed, put, table, unkeyed
 from orrery.llm.langid import fold
 
 SAMPLE = 20_000  # labelled rows that are learned from, at most
@@ -250,8 +250,7 @@ def score(docs: DataFrame, spark: SparkSession, model: Model) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [sent.value.score(t) for t in batch["text"]]})
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInPandas(run, "doc_id long, score double")
+    return unkeyed(keyed(docs).mapInPandas(run, "doc_id long, score double"))
 
 
 def without_toxic(docs: DataFrame, spark: SparkSession, model: Model, least: float = 0.5) -> DataFrame:

@@ -1,0 +1,22 @@
+import corpus_pipeline
+from orrery.llm import registry
+
+
+def test_names():
+    names = list(registry.queries())
+    assert [n.split("_")[0] for n in sorted(names, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_pipeline_keeps_columns_and_packs(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    n = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = stage(spark, docs, d)
+        assert docs.columns == before.columns and docs.schema == before.schema, name
+        docs = docs.cache()
+        assert 0 < docs.count() <= n
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, d)
+    assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
+    assert packed.select("doc_id").distinct().count() == docs.count()
