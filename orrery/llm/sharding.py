@@ -76,7 +76,7 @@ def shard(docs: DataFrame, spark: SparkSession, shards: int = 16) -> DataFrame:
     salt = F.pmod(F.shiftrightunsigned(F.col("h"), 11), F.expr(f"members div {part} + 1"))
     hot = some.where("members is not null").withColumn("salt", salt.cast("int")).withColumn("linked", F.lit(True))
     hot = hot.withColumn("shard", F.pmod(F.col("g") + F.expr(f"salt div {step}"), F.lit(shards)).cast("int")).drop("members")
-    rest = some.where("members is null").drop("members").join(groups.where(F.col("members") <= part), "g", "left")
+    rest = some.where("members is null").drop("members").join(groups.where(F.col("members") <= part).hint("merge"), "g", "left")
     rest = rest.withColumn("salt", F.lit(0)).withColumn("linked", F.col("members").isNotNull()).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).drop("members")
     columns = ["doc_id", "size", "text_crc32", "g", "h", "salt", "shard"]
     whole, _ = put(hot.unionByName(rest).select(*columns, "linked"), spark, "shard-start")
@@ -84,7 +84,7 @@ def shard(docs: DataFrame, spark: SparkSession, shards: int = 16) -> DataFrame:
     for r in range(ROUNDS):
         near = linked.groupBy("g", "salt", "shard").agg(F.count(F.lit(1)).alias("members"))
         target = near.groupBy("g", "salt").agg(F.max_by("shard", F.struct("members", F.hash("g", "shard"))).alias("target"))
-        moves, path = put(linked.join(target, ["g", "salt"]), spark, f"shard-moves{r}")
+        moves, path = put(linked.join(target.hint("merge"), ["g", "salt"]), spark, f"shard-moves{r}")
         counts = moves.groupBy("shard", "target").agg(F.count(F.lit(1)).alias("members")).collect()  # shards squared at most
         flow = {(x["shard"], x["target"]): x["members"] for x in counts if x["shard"] != x["target"]}
         size: dict[int, int] = {}
