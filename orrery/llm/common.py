@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +40,10 @@ def put(df: DataFrame, spark: SparkSession, name: str) -> tuple[DataFrame, str]:
 
 def tidy(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def drop(spark: SparkSession, *paths: str) -> None:

@@ -4,9 +4,9 @@ Every window of WINDOW words has an anchor: of its PHRASE-word phrases the one w
 have equal anchors, so a window can recur only if its anchor does. The distinct anchors of each document, about a
 fifth of its words, are counted over all documents. Documents are dealt into shards of bounded size; for each
 shard an Aho-Corasick automaton is compiled of the recurring phrases that its documents hold, and the documents
-are streamed through it, which locates every occurrence and confirms the phrase literally. Windows around them
-are grouped over all documents by a 128-bit key, and a word is removed if a window that covers it also starts in
-a document with a smaller doc_id.
+are streamed through it where windows may recur, which locates every occurrence and confirms the phrase literally.
+Windows around them are grouped over all documents by a 96-bit key, and a word is removed if a window that covers
+it also starts in a document with a smaller doc_id. Whole copies of a document lose all words at once.
 """
 
 from __future__ import annotations
@@ -18,27 +18,42 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import drop, put, table
-from orrery.llm.words import Hashes, rolled, sliding_min, words_of
+from orrery.llm.common import NO_ID, drop, keyed, put, table, tidy, unkeyed
+from orrery.llm.words import HASHES, member, rolled, rolled_at, sliding_min, words_of
 
 WINDOW, PHRASE = 13, 5
-SHARD = 300  # documents of a shard
+SHARD = 600  # documents of a shard
 
 
-def anchors_of(h: np.ndarray) -> np.ndarray:
-    """The anchor of each window of a document of word hashes ``h``."""
-    return sliding_min(rolled(h, PHRASE), WINDOW - PHRASE + 1)
+def anchors_of(phrases: np.ndarray) -> np.ndarray:
+    """The anchor of each window of a document of phrase hashes ``phrases``."""
+    return sliding_min(phrases, WINDOW - PHRASE + 1)
 
 
 def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cache = Hashes()
+    """(anchor, 0) of windows, and for each document with windows the two halves of a digest of all its words."""
     for batch in batches:
-        found = [np.unique(anchors_of(cache.of(words_of(t)))) for t in batch["text"]]
-        n = [len(a) for a in found]
-        yield pd.DataFrame({"anchor": np.concatenate(found).view(np.int64) if n else np.empty(0, np.int64), "doc_id": np.repeat(batch["doc_id"].to_numpy(), n)})
+        keys, ids, n = [], [], []
+        subs = []
+        for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"]):
+            words = words_of(text)
+            if len(words) < WINDOW or doc_id == NO_ID:
+                continue
+            h = HASHES.of(words)
+            a = anchors_of(rolled(h, PHRASE))
+            whole = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
+            keys += [a[np.concatenate([[True], a[1:] != a[:-1]])].view(np.int64), whole[:1]]
+            subs.append(int(whole[1]) or 1)
+            ids.append(doc_id)
+            n.append(len(keys[-2]) + 1)
+        if ids:
+            sub = np.zeros(sum(n), np.int64)
+            sub[np.cumsum(n) - 1] = subs
+            yield pd.DataFrame({"key": np.concatenate(keys), "sub": sub, "doc_id": np.repeat(np.array(ids, np.int64), n)})
 
 
 def located(words: list[str], automaton) -> np.ndarray:
@@ -46,40 +61,50 @@ def located(words: list[str], automaton) -> np.ndarray:
     line = " " + " ".join(words) + " "
     ends = np.fromiter((end for end, _ in automaton.iter(line)), np.int64)
     stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # of the blank after each word
-    return np.unique(np.searchsorted(stops, ends)) - (PHRASE - 1)
+    return np.searchsorted(stops, ends) - (PHRASE - 1)
 
 
 def _scan(key, docs: pd.DataFrame, recurring: pd.DataFrame) -> pd.DataFrame:
-    cache, known = Hashes(), np.sort(recurring["anchor"].to_numpy().view(np.uint64))
-    read = []
-    automaton = ahocorasick.Automaton()
-    for text in docs["text"]:
+    value, copy = recurring["value"].to_numpy(np.int64), recurring["copy"].to_numpy(bool)
+    known, copies = np.sort(value[~copy].view(np.uint64)), set(value[copy].tolist())
+    read, automaton, put_in = [], ahocorasick.Automaton(), set()
+    for doc_id, text in zip(docs["doc_id"].tolist(), docs["text"]):
         words = words_of(text)
-        h = cache.of(words)
-        phrases, anchor = rolled(h, PHRASE), anchors_of(h)
-        hit = np.isin(anchor, known) if len(known) else np.zeros(len(anchor), bool)
-        if hit.any():
-            for i in np.flatnonzero(np.isin(phrases, np.unique(anchor[hit]))).tolist():
-                automaton.add_word(" " + " ".join(words[i : i + PHRASE]) + " ", 1)
-        read.append((words, h, hit))
+        if len(words) < WINDOW or doc_id in copies or doc_id == NO_ID:
+            read.append((words, None, None))
+            continue
+        h = HASHES.of(words)
+        phrases = rolled(h, PHRASE)
+        anchor = anchors_of(phrases)
+        at = np.flatnonzero(member(anchor, known))
+        if len(at):
+            for i in np.flatnonzero(member(phrases, np.unique(anchor[at]))).tolist():
+                if (p := int(phrases[i])) not in put_in:
+                    put_in.add(p)
+                    automaton.add_word(" " + " ".join(words[i : i + PHRASE]) + " ", 1)
+        read.append((words, h, at))
     if len(automaton):
         automaton.make_automaton()
     rows = []
-    for doc_id, rid, text, (words, h, hit) in zip(docs["doc_id"], docs["rid"], docs["text"], read):
-        if hit.any():
-            starts = np.zeros(len(words) + 1, np.int64)
-            starts[located(words, automaton) + 1] = 1
-            before = np.cumsum(starts)  # phrases that start before each word
-            at = np.flatnonzero(hit)
-            at = at[before[at + WINDOW - PHRASE + 1] > before[at]]
-            a, b = rolled(h, WINDOW), rolled(h, WINDOW, 0xC2B2AE3D27D4EB4F)
-            rows.append((doc_id, rid, text, None, at.astype(np.int32), a[at].view(np.int64), b[at].view(np.int64)))
-        else:
-            rows.append((doc_id, rid, _digest(words), len(words), None, None, None))
-    return pd.DataFrame(rows, columns=["doc_id", "rid", "text", "n_words", "at", "a", "b"])
-
-
-SCANNED = "doc_id long, rid long, text string, n_words long, at array<int>, a array<long>, b array<long>"
+    for doc_id, rid, (words, h, at) in zip(docs["doc_id"], docs["rid"], read):
+        gone = len(words) if doc_id in copies else 0
+        row = (doc_id, rid, len(words), gone, _digest([] if gone else words))
+        if h is None or not len(at):
+            rows.append((*row, None, None, None))
+            continue
+        # Only the stretches of windows that may recur are streamed.
+        starts = np.zeros(len(words) + 1, np.int64)
+        edge = np.flatnonzero(np.diff(at) > WINDOW)
+        for s, e in zip(at[np.concatenate([[0], edge + 1])].tolist(), at[np.concatenate([edge, [len(at) - 1]])].tolist()):
+            starts[located(words[s : e + WINDOW], automaton) + s + 1] = 1
+        before = np.cumsum(starts)  # phrases that start before each word
+        at = at[before[at + WINDOW - PHRASE + 1] > before[at]]
+        a, b = rolled_at(h, at, WINDOW, 0x9E3779B97F4A7C15), rolled_at(h, at, WINDOW, 0xC2B2AE3D27D4EB4F)
+        rows.append((*row, at.astype(np.int32), a.view(np.int64), (b >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+    return pd.DataFrame(rows, columns=["doc_id", "rid", "n_words", "n_removed", "kept_sha256", "at", "a", "b"])
+
+
+SCANNED = "doc_id long, rid long, n_words long, n_removed long, kept_sha256 string, at array<int>, a array<long>, b array<int>"
 
 
 def _digest(words: list[str]) -> str:
@@ -95,26 +120,44 @@ def covered(n: int, at) -> np.ndarray:
     return np.cumsum(steps[:n]) > 0
 
 
-def repeats(docs: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """Scanned documents, and for each that loses words the starts of the windows that remove them.
+def repeats(docs: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Scanned documents, and for each that loses words the starts of the windows that remove them, by ``row``.
 
-    ``scanned`` has a row for each document: with its text if windows of it may recur, else with its number of
-    words and the digest of its kept words in ``text``.
+    ``scanned`` has for each document its number of words, how many of them go at once (all of a whole copy's), and
+    the digest of what is kept if no window goes. The names of ``row`` identify a document: rid is 0 where doc_id does.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("rid"))
-    shards = max(1, math.ceil(rows.count() / SHARD))
+    rows = keyed(docs)
+    ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    unique = (ids["most"] or 0) <= 1
+    row = ["doc_id"] if unique else ["doc_id", "rid"]
+    rows = rows.withColumn("rid", F.lit(0).cast("long") if unique else F.xxhash64("text"))
+    shards = max(1, math.ceil((ids["rows"] or 0) / SHARD))
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
-    anchors, held = put(rows.select("doc_id", "text").mapInPandas(_anchors, "anchor long, doc_id long"), spark, "anchors")
-    recurring = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    phrases, kept = put(anchors.join(recurring, "anchor").select(shard.alias("shard"), "anchor").distinct(), spark, "phrases")
+    anchors, held = put(rows.select("doc_id", "text").mapInPandas(_anchors, "key long, sub long, doc_id long"), spark, "anchors")
+    recurring = anchors.groupBy("key", "sub").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "sub", "low")
+    both = anchors.join(recurring.hint("merge"), ["key", "sub"]).where("sub = 0 or doc_id > low")
+    phrases = both.select(shard.alias("shard"), F.when(F.col("sub") == 0, F.col("key")).otherwise(F.col("doc_id")).alias("value"), (F.col("sub") != 0).alias("copy")).distinct()
+    phrases, kept = put(phrases, spark, "phrases")
     drop(spark, held)
+    tidy(spark)
     dealt = rows.withColumn("shard", shard)
     scanned, _ = put(dealt.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInPandas(_scan, SCANNED), spark, "scanned")
     drop(spark, kept)
-    windows = scanned.where("at is not null").select("doc_id", "rid", F.explode(F.arrays_zip("at", "a", "b")).alias("w")).select("doc_id", "rid", "w.at", "w.a", "w.b")
+    tidy(spark)
+    windows = scanned.where("at is not null").select(*row, F.explode(F.arrays_zip("at", "a", "b")).alias("w")).select(*row, "w.at", "w.a", "w.b")
     first = windows.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a", "b", "low")
-    lost = windows.join(first, ["a", "b"]).where("doc_id > low").groupBy("doc_id", "rid").agg(F.collect_set("at").alias("lost"))
-    return scanned, lost
+    lost = windows.join(first.hint("merge"), ["a", "b"]).where("doc_id > low").groupBy(*row).agg(F.collect_set("at").alias("lost"))
+    lost, _ = put(lost, spark, "lost")
+    tidy(spark)
+    return scanned, lost, row
+
+
+def _own(docs: DataFrame, row: list[str]) -> DataFrame:
+    return docs.withColumn("_rid", F.xxhash64("text")) if len(row) > 1 else docs
+
+
+def _named(lost: DataFrame, row: list[str]) -> DataFrame:
+    return lost.select("doc_id", *[F.col("rid").alias("_rid")][: len(row) - 1], F.col("lost").alias("_lost")).hint("merge")
 
 
 def dedup(docs: DataFrame, spark: SparkSession) -> DataFrame:
@@ -123,21 +166,21 @@ def dedup(docs: DataFrame, spark: SparkSession) -> DataFrame:
     Null and empty texts have no words. Rows of one doc_id don't remove each other's words; a row without doc_id
     neither loses nor removes any. Extra columns go; an empty table gives an empty one.
     """
-    scanned, lost = repeats(docs, spark)
+    scanned, lost, row = repeats(docs, spark)
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text, at in zip(batch["doc_id"], batch["text"], batch["lost"]):
+            for doc_id, text, at in zip(batch["doc_id"], batch["text"], batch["_lost"]):
                 words = words_of(text)
                 gone = covered(len(words), at)
                 out.append((doc_id, len(words), int(gone.sum()), _digest([w for w, g in zip(words, gone.tolist()) if not g])))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    some = scanned.where("at is not null").select("doc_id", "rid", "text").join(lost, ["doc_id", "rid"], "left").select("doc_id", "text", "lost")
+    some = _own(keyed(docs), row).join(_named(lost, row), ["doc_id", "_rid"][: len(row)]).select("doc_id", "text", "_lost")
     some = some.mapInPandas(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    none = scanned.where("at is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept_sha256"))
-    return some.unionByName(none)
+    none = scanned.join(lost.select(*row).hint("merge"), row, "left_anti").select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return unkeyed(some.unionByName(none))
 
 
 def without_repeats(docs: DataFrame, spark: SparkSession) -> DataFrame:
@@ -146,20 +189,22 @@ def without_repeats(docs: DataFrame, spark: SparkSession) -> DataFrame:
     A text that loses none stays as it is; else its kept words are joined by blanks. A row whose every word is a
     repeat goes.
     """
-    _, lost = repeats(docs, spark)
+    scanned, lost, row = repeats(docs, spark)
+    whole = scanned.where("n_removed > 0").select(*row, F.array().cast("array<int>").alias("lost"))
+    lost = lost.unionByName(whole)
 
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, stays = [], []
-            for text, at in zip(batch["text"], batch["lost"]):
+            for text, at in zip(batch["text"], batch["_lost"]):
                 if at is not None:
                     words = words_of(text)
-                    text = " ".join([w for w, g in zip(words, covered(len(words), at).tolist()) if not g])
+                    text = " ".join([w for w, g in zip(words, covered(len(words), at).tolist()) if not g]) if len(at) else ""
                 texts.append(text)
                 stays.append(at is None or bool(text))
-            yield batch.assign(text=texts)[stays].drop(columns=["rid", "lost"])
+            yield batch.assign(text=texts)[stays].drop(columns=["_lost"])
 
-    both = docs.withColumn("rid", F.xxhash64("text")).join(lost, ["doc_id", "rid"], "left").select(*docs.columns, "rid", "lost")
+    both = _own(docs, row).join(_named(lost, row), ["doc_id", "_rid"][: len(row)], "left").select(*docs.columns, "_lost")
     return both.mapInPandas(cut_out, docs.schema).withColumn("n_chars", F.length("text").cast("long"))
 
 

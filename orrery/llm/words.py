@@ -26,12 +26,18 @@ def lowered(text: str | None) -> str:
 
 
 class Hashes(dict):
-    """A bounded cache of 64-bit word hashes."""
+    """A bounded cache of 64-bit word hashes, of two generations."""
+
+    def __init__(self):
+        self.old: dict[str, int] = {}
 
     def __missing__(self, word: str) -> int:
-        value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = self.old.get(word)
+        if value is None:
+            value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         if len(word) <= 64:
             if len(self) >= CACHED:
+                self.old = dict(self)
                 self.clear()
             self[word] = value
         return value
@@ -40,6 +46,17 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One for each worker.
+HASHES = Hashes()
+
+
+def member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def rolled(h: np.ndarray, n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """A hash of each n consecutive elements."""
     if len(h) < n:
@@ -52,6 +69,16 @@ def rolled(h: np.ndarray, n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def rolled_at(h: np.ndarray, at: np.ndarray, n: int, base: int) -> np.ndarray:
+    """A hash of the n consecutive elements that start at each of ``at``."""
+    b, out = np.uint64(base | 1), np.zeros(len(at), np.uint64)
+    for k in range(n):
+        out = out * b + (h[at + k] ^ np.uint64(k))
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))
+
+
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     """The least of each n consecutive elements."""
     if len(x) < n:
