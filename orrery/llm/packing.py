@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import cut, table
+from orrery.llm.common import cut, keyed, table, unkeyed
 from orrery.llm.tokens import encoder, vocabulary
 
 CAPACITY = 2048
@@ -115,8 +115,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                     rows.append((doc_id, k, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)])))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return keyed(docs).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 ORDER = ["doc_id", "piece", "start", "ids_crc32"]
@@ -208,7 +207,7 @@ def pack(docs: DataFrame, spark: SparkSession, path: str | None = None, capacity
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return unkeyed(out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"))
 
 
 def op9_grouping_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,17 +17,35 @@ from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from orrery.llm.common import table
+from orrery.llm.common import keyed, table, unkeyed
 
 SPACE = re.compile(r"[ \t\n\r]+")
+MARKS = "\x1c\x1d\x1e\x1f"  # white space to str.split, not to the tokenizer
 #: Letters that NFC leaves alone and that one table maps to lower case and byte letters, then marks without apostrophes.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-CACHED = 200_000  # fragments kept by a worker
+CACHED = 250_000  # fragments kept by a worker, and as many of those that were kept before
 LONGEST = 48  # characters of a fragment that is kept
 
 
+class Kept(dict):
+    """A bounded cache of two generations: when the young one is full, the old one goes."""
+
+    def __init__(self, make, size: int = CACHED):
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Encoder:
     """Encodes as the tokenizer in ``path`` does without special tokens added, truncation or padding."""
 
@@ -52,8 +70,9 @@ class Encoder:
         #: Pairs that occur inside a token: all others force a cut.
         self.joined = {(a, b) for t in model["vocab"] for bare in [t.removesuffix(self.suffix) if self.suffix else t] for a, b in zip(bare, bare[1:])}
         self.plain = {ord(c): "".join(self.letter(b) for b in c.lower().encode()) for c in map(chr, range(256)) if PLAIN.fullmatch(c)}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.numbers = list(range(len(self.strings)))
+        self.safe = re.compile(f"[{re.escape(self._safe())}]+")
+        self.words, self.chunks = Kept(self.word), Kept(self.chunk)
 
     @staticmethod
     def letter(byte: int) -> str:
@@ -61,49 +80,44 @@ class Encoder:
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         return chr(byte) if byte in shown else chr(0x100 + byte - sum(b < byte for b in shown))
 
-    def kept(self, word: str) -> tuple[int, ...]:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.word(word)
-            if len(word) <= LONGEST:
-                if len(self.words) >= CACHED:
-                    self.words.clear()
-                self.words[word] = ids
-        return ids
+    def _safe(self) -> str:
+        """Letters of which any two may stand together inside a token: words of these have no forced cut."""
+        letters = {c for pair in self.joined for c in pair}
+        apart = {c: {d for d in letters if (c, d) not in self.joined or (d, c) not in self.joined} for c in letters}
+        while letters and (worst := max(sorted(letters), key=lambda c: len(apart[c] & letters))) and apart[worst] & letters:
+            letters.discard(worst)
+        return "".join(sorted(letters))
 
     def word(self, word: str) -> tuple[int, ...]:
         """Ids of a word of byte letters: the fragments between forced cuts, encoded one by one."""
-        joined, at, out = self.joined, 0, []
-        for i in range(1, len(word)):
-            if (word[i - 1], word[i]) not in joined:
-                out += [t.id for t in self.inner.tokenize(word[at:i])]
-                at = i
-        out += [t.id for t in self.last.tokenize(word[at:])]
+        joined, numbers, at, out = self.joined, self.numbers, 0, []
+        if not self.safe.fullmatch(word):
+            for i in range(1, len(word)):
+                if (word[i - 1], word[i]) not in joined:
+                    out += [numbers[t.id] for t in self.inner.tokenize(word[at:i])]
+                    at = i
+        out += [numbers[t.id] for t in self.last.tokenize(word[at:])]
         return tuple(out)
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
         """Ids of a stretch without spaces, tabs or line ends."""
+        if chunk.isascii():
+            if chunk.isalpha():
+                return self.words[chunk.lower()]
+            if chunk[:-1].isalpha() and chunk[-1] in ",.":
+                return self.words[chunk[:-1].lower()] + self.words[chunk[-1]]
         if m := PLAIN.fullmatch(chunk):
-            ids = self.kept(m[1].translate(self.plain))
-            return ids + self.kept(m[2]) if m[2] else ids
+            ids = self.words[m[1].translate(self.plain)]
+            return ids + self.words[m[2]] if m[2] else ids
         if any(s in chunk for s in self.special):
             return tuple(self.whole.encode(chunk, add_special_tokens=False).ids)
         clean = self.whole.normalizer.normalize_str(chunk) if self.whole.normalizer else chunk
-        return tuple(chain.from_iterable(self.kept(w) for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(clean)))
+        return tuple(chain.from_iterable(self.words[w] for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(clean)))
 
-    def parts(self, text: str) -> list[tuple[int, ...]]:
+    def parts(self, text: str) -> Iterator[tuple[int, ...]]:
         """Ids of each stretch of a text."""
-        known, out = self.chunks, []
-        for c in SPACE.split(text):
-            ids = known.get(c)
-            if ids is None:
-                ids = self.chunk(c) if c else ()
-                if len(c) <= LONGEST:
-                    if len(known) >= CACHED:
-                        known.clear()
-                    known[c] = ids
-            out.append(ids)
-        return out
+        chunks = [c for c in SPACE.split(text) if c] if any(c in text for c in MARKS) else text.split()
+        return map(self.chunks.__getitem__, chunks)
 
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(self.parts(text or "")))
@@ -134,7 +148,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [e.encode(t) for t in batch["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
+    return unkeyed(keyed(docs).mapInPandas(run, "doc_id long, ids array<int>"))
 
 
 def decode(ids: DataFrame, path: str | None = None) -> DataFrame:
@@ -165,8 +179,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 rows.append((doc_id, len(ids), digest, hashlib.sha256(e.decode(ids).encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return unkeyed(keyed(docs).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def op7_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
