@@ -20,9 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import drop, put, table
+from orrery.llm.common import NO_ID, keyed, put, table, unkeyed
 from orrery.llm.graphs import components
-from orrery.llm.words import Hashes, lowered, rolled, words_of
+from orrery.llm.words import HASHES, Hashes, lowered, rolled, words_of
 
 SHINGLE = 5
 COORDINATES, WIDTH = 96, 4
@@ -48,7 +48,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cache = Hashes()
+    cache = HASHES
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch["doc_id"], batch["text"]):
@@ -134,25 +134,26 @@ def link(docs: DataFrame, spark: SparkSession, percent: int = 85) -> DataFrame:
     Texts that are null, empty or without words have no shingles and are linked with nothing. Repeated rows are of
     one component; a row without doc_id is linked with nothing. Extra columns go; an empty table gives an empty one.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = keyed(docs)
     signed, _ = put(rows.mapInPandas(_sign, "doc_id long, n_shingles long, hi long, lo long, keys array<long>"), spark, "signed")
-    some = signed.where("n_shingles > 0 and doc_id is not null")
+    some = signed.where((F.col("n_shingles") > 0) & (F.col("doc_id") != NO_ID))
     reps = some.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     reps, _ = put(reps, spark, "reps")
     posted = reps.select("rep", F.explode("keys").alias("key"))
     heads = posted.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "head")
-    edges = posted.join(heads, "key").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    edges = posted.join(heads.hint("merge"), "key").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
     coarse = components(edges, spark, "clusters")
     member = coarse.select(F.col("a").alias("rep"), F.col("root").alias("cluster")).unionByName(coarse.select(F.col("root").alias("rep"), F.col("root").alias("cluster")).distinct())
     member, _ = put(member.join(reps.select("rep", "n"), "rep"), spark, "members")
+    # Joins are told to shuffle, so that plans, and their costs, are alike at every size.
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
     dealt = member.join(member.groupBy("cluster").agg(blocks.alias("blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # A block meets itself and each other block of its cluster; most clusters are of one block.
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("rep", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-    texts = rows.join(dealt, rows["doc_id"] == dealt["rep"]).select("rep", "cluster", "i", "j", "block", "text")
+    texts = rows.join(dealt.hint("merge"), rows["doc_id"] == dealt["rep"]).select("rep", "cluster", "i", "j", "block", "text")
 
     def confirm(key, part: pd.DataFrame) -> pd.DataFrame:
-        cache = Hashes()
+        cache = HASHES
         part = part.drop_duplicates("rep").sort_values("rep", kind="stable")
         sets = [shingles(words_of(lowered(t)), cache) for t in part["text"]]
         ids = part["rep"].tolist()
@@ -161,8 +162,10 @@ def link(docs: DataFrame, spark: SparkSession, percent: int = 85) -> DataFrame:
 
     links = texts.groupBy("cluster", "i", "j").applyInPandas(confirm, "a long, b long")
     roots = components(links, spark, "links").select(F.col("a").alias("rep"), "root")
-    named = reps.select("hi", "lo", "rep").join(roots, "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("root"))
-    return signed.select("doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo"], "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    named = reps.select("hi", "lo", "rep").join(roots.hint("merge"), "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("root"))
+    out = signed.select("doc_id", "n_shingles", "hi", "lo").join(named.hint("merge"), ["hi", "lo"], "left")
+    own = F.when(F.col("doc_id") != NO_ID, F.coalesce("root", "doc_id"))
+    return unkeyed(out.select("doc_id", "n_shingles", own.alias("component_id")))
 
 
 def without_copies(docs: DataFrame, spark: SparkSession, percent: int = 85) -> DataFrame:
@@ -170,7 +173,7 @@ def without_copies(docs: DataFrame, spark: SparkSession, percent: int = 85) -> D
     found = link(docs, spark, percent)
     stays = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     stays, _ = put(stays, spark, "stays")
-    kept = docs.join(stays.select("doc_id"), "doc_id", "left_semi")
+    kept = docs.join(stays.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if stays.where("rows > 1").limit(1).count():  # repeated rows of one id
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
