@@ -15,8 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document of the least doc_id stays."""
-    return neardup.without_copies(docs, spark)
+    """Of each component of near copies, at a similarity of 0.8 or more, the document of the least doc_id stays."""
+    return neardup.without_copies(docs, spark, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

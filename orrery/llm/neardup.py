@@ -5,13 +5,14 @@ of equal shingle sets are one representative. Representatives are posted under (
 coordinates; what shares a posting is joined into clusters by stars on the least document, never by pairs. A pair
 of Jaccard similarity 0.85 shares no posting with a probability of 2e-8. The clusters only say who must meet:
 within one, and for large ones between bounded blocks of it, an inverted index over the single coordinate-value
-pairs is merged. The shortest COORDINATES - MATCHES + 1 lists of a document give its candidates, lists skip what
-precedes the document, and pairs with at least MATCHES collisions are retained and confirmed on their full shingle
+pairs is merged. The shortest COORDINATES - matches + 1 lists of a document give its candidates, lists skip what
+precedes the document, and pairs with at least ``matches`` collisions are retained and confirmed on their full shingle
 sets, if they aren't connected yet. The links that are found, a forest for each task, are joined into components.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from orrery.llm.words import HASHES, Hashes, lowered, rolled, words_of
 
 SHINGLE = 5
 COORDINATES, WIDTH = 96, 4
-MATCHES = 60  # of a retained pair; at a similarity of 0.85 a pair has 81.6 on average, with a deviation of 3.5
+BELOW = 6.17  # deviations below its average that a retained pair's collisions may be
 BLOCK_DOCS, BLOCK_SHINGLES = 1000, 1_000_000  # of a cluster, that meet in a task
 MIXES = np.random.default_rng(20240501).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -80,9 +81,15 @@ class Union:
         return i != j
 
 
+def matches(percent: int) -> int:
+    """Collisions of a retained pair: 60 at a similarity of 0.85, where a pair has 81.6 on average; 52 of 76.8 at 0.80."""
+    p = percent / 100
+    return max(1, int(COORDINATES * p - BELOW * math.sqrt(COORDINATES * p * (1 - p))))
+
+
 def linked(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A forest of the pairs of ``sets`` whose similarity is at least ``percent`` / 100; with two sides, of pairs across."""
-    m = len(sets)
+    m, least = len(sets), matches(percent)
     size = np.array([len(s) for s in sets])
     across = side.min() != side.max()
     sig = np.stack([signature(s) for s in sets])
@@ -107,7 +114,7 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple
 
     for i in range(m):
         mine = token[i]
-        short = mine[np.argsort(length[mine], kind="stable")[: COORDINATES - MATCHES + 1]]
+        short = mine[np.argsort(length[mine], kind="stable")[: COORDINATES - least + 1]]
         parts = [x[np.searchsorted(x, i, "right") :] for x in (lists[t] for t in short.tolist()) if len(x) > 1]
         js = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
         if across and len(js):
@@ -117,7 +124,7 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple
         if not len(js):
             continue
         n = (sig[js] == sig[i]).sum(axis=1)
-        js, n = js[n >= MATCHES], n[n >= MATCHES]
+        js, n = js[n >= least], n[n >= least]
         best = js[np.argsort(-n, kind="stable")[:3]]
         confirm(i, best)
         if len(js) > len(best):
