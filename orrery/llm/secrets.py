@@ -1,6 +1,6 @@
 """Secret scan: pattern matches plus a battery of randomness tests with false-discovery control.
 
-Every maximal run of encoding characters is a candidate. Its encoding is inferred from the characters it
+Every maximal run of 16 or more encoding characters is a candidate. Its encoding is inferred from the characters it
 uses, and three tests of the hypothesis *uniformly random in that encoding* are made: chi-squared uniformity
 of the alphabet, a runs test about the median code, and the lag-one serial correlation of the codes. A
 candidate is consistent with a random string if the combination of the three is not rejected.
@@ -28,7 +28,7 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])")
 ALPHABETS = (
     ("hex", "0123456789abcdef"),
     ("HEX", "0123456789ABCDEF"),
