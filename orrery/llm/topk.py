@@ -4,8 +4,10 @@ Each dimension of a block of vectors is a list sorted by the component. A query
 high end where its own component is positive and from the low end where it is negative. After each round a vector
 has a lower bound (what was read of it, plus the least that its unread components can give) and an upper bound
 (what was read, plus the most they can give, which the last values read in each list bound). A round ends the
-reading when no vector outside the best k by lower bound has an upper bound above the k-th lower bound. Only the
-vectors whose upper bound reaches the k-th lower bound then get their final score.
+reading when few vectors have an upper bound that reaches the k-th lower bound; only those then get their final
+score. Bounds are looked at after a quarter and a half of each list. A query that is still open then gets the final
+scores of all vectors of the block, by a plain product; so does every query of a block whose half is under 4 * k
+vectors, and of components whose scores may reach 2^53.
 
 Rounds double in depth and are made for a block of queries at once, as matrix products over read masks. Blocks of
 vectors and of queries are bounded and meet in a join on the query block, so neither side is broadcast or
