@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,20 @@ def tidy(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
+def trim() -> None:
+    """Give freed memory of a Python worker back: workers live on through later stages, beside the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def vectorised(schema: str):
+    """A pandas UDF of a function of series; it is made when it is called, as its schema is read by a session."""
+    return lambda f: lambda *columns: F.pandas_udf(f, schema)(*columns)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Remove tables that ``put`` wrote."""
     jvm = spark._jvm
