@@ -14,22 +14,21 @@ import math
 import pickle
 import random
 import zlib
-from array import array
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import cut, keyed, table, unkeyed
+from orrery.llm.common import cut, table, vectorised
 from orrery.llm.tokens import encoder, vocabulary
 
 CAPACITY = 2048
 BLOCK = 4096  # pieces packed together
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 3, 6, 4
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 4, 25, 8
+LOOSE, SWAPPED = 100, 200  # displaced pieces that are swapped, bins they are swapped into, at most
 FULL_ENOUGH = 0.98  # bins below this are packed again
 
 Packing = dict[int, list[int]]  # pieces of each bin
@@ -66,8 +65,39 @@ def fitness(one: tuple[Packing, dict[int, int]], capacity: int) -> tuple[int, fl
     return -len(one[0]), sum((capacity - r) ** 2 for r in one[1].values())
 
 
+def swapped(bins: Packing, room: dict[int, int], loose: list[int], length: list[int], some: list[int]) -> list[int]:
+    """Let one or two of the ``loose`` pieces take the place of one or two shorter ones of a bin of ``some``, where that
+    fills the bin best; what comes out is loose, and easier to place. The loose pieces, by descending length."""
+    loose = sorted(loose, key=lambda i: (length[i], i))
+    for k in some:
+        free, items = room[k], bins[k]
+        if not free or not loose:
+            continue
+        best, outs, ins = 0, (), ()
+        for out in [(i,) for i in items] + [(i, j) for n, i in enumerate(items[:8]) for j in items[n + 1 : 8]]:
+            had = sum(length[i] for i in out)
+            at = bisect_right(loose, had + free, key=lambda i: length[i]) - 1
+            if at >= 0 and length[loose[at]] - had > best:
+                best, outs, ins = length[loose[at]] - had, out, (loose[at],)
+            low, high = 0, len(loose) - 1
+            while low < high:
+                both = length[loose[low]] + length[loose[high]]
+                if both > had + free:
+                    high -= 1
+                else:
+                    if both - had > best:
+                        best, outs, ins = both - had, out, (loose[low], loose[high])
+                    low += 1
+        if best:
+            bins[k] = [i for i in items if i not in outs] + list(ins)
+            room[k] = free - best
+            loose = sorted([i for i in loose if i not in ins] + list(outs), key=lambda i: (length[i], i))
+    return loose[::-1]
+
+
 def crossover(a, b, length: list[int], capacity: int, pick: random.Random):
-    """Whole well-filled bins of ``b`` go into a copy of ``a``; what they displace is placed by best fit."""
+    """Whole well-filled bins of ``b`` go into a copy of ``a``; bins that hold their pieces too, and some of the worst,
+    dissolve. What they displace is swapped into other bins where that fills them better, then placed by best fit."""
     bins, room = dict(a[0]), dict(a[1])
     where = {i: k for k, items in bins.items() for i in items}
     full = sorted(b[0], key=lambda k: (b[1][k], k))
@@ -83,39 +113,44 @@ def crossover(a, b, length: list[int], capacity: int, pick: random.Random):
     for k in chosen:
         bins[new], room[new] = b[0][k], b[1][k]
         new += 1
+    if len(displaced) <= LOOSE:
+        displaced = swapped(bins, room, displaced, length, pick.sample(sorted(bins), min(len(bins), SWAPPED)))
     best_fit(bins, room, sorted(displaced, key=lambda i: (-length[i], i)), length, capacity)
     return bins, room
 
 
 def evolve(population: list, length: list[int], capacity: int, pick: random.Random, generations: int) -> list:
+    """Each generation the worse half makes room for as many children. It ends early only at the least number of bins
+    that the lengths allow, which nothing can beat."""
     least = math.ceil(sum(length) / capacity)
-    population = sorted(population, key=lambda x: fitness(x, capacity), reverse=True)
+    rank = lambda some: sorted(some, key=lambda x: fitness(x, capacity), reverse=True)
+    population = rank(population)
     for _ in range(generations):
         if len(population[0][0]) <= least:
             break
-        a, b = pick.sample(population, 2) if len(population) > 1 else population * 2
-        population.append(crossover(a, b, length, capacity, pick))
-        population = sorted(population, key=lambda x: fitness(x, capacity), reverse=True)[:POPULATION]
+        parents = population[: max(2, POPULATION // 2)]
+        children = [crossover(*pick.sample(parents, 2), length, capacity, pick) for _ in parents] if len(parents) > 1 else []
+        population = rank(parents + children)[:POPULATION]
     return population
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
     """The pieces of each document: its ids, then ``end``. Null: an empty text. Extra columns are dropped."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(path or vocabulary())
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = array("I", chain.from_iterable(e.parts(text or "")))
-                ids.append(end)
-                raw = memoryview(np.frombuffer(ids, np.uint32).astype("<u4").tobytes())
-                for k, start in enumerate(range(0, len(ids), capacity)):
-                    n = min(capacity, len(ids) - start)
-                    rows.append((doc_id, k, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)])))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+    @vectorised("n long, crcs array<long>")
+    def run(text: pd.Series) -> pd.DataFrame:
+        e, last = encoder(path or vocabulary()), np.array([end], "<u4")
+        n, crcs = [], []
+        for ids in e.many(text):
+            raw = memoryview(np.concatenate([ids.astype("<u4", copy=False), last]).tobytes())
+            n.append(len(raw) // 4)
+            crcs.append([zlib.crc32(raw[at : at + 4 * capacity]) for at in range(0, len(raw), 4 * capacity)])
+        return pd.DataFrame({"n": n, "crcs": crcs})
 
-    return keyed(docs).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    found = docs.select("doc_id", run(F.col("text").cast("string").cast("binary")).alias("x"))
+    found = found.select("doc_id", "x.n", F.posexplode("x.crcs").alias("piece", "ids_crc32"))
+    start = F.col("piece").cast("long") * F.lit(capacity)
+    return found.select("doc_id", "piece", start.alias("start"), F.least(F.lit(capacity).cast("long"), F.col("n") - start).alias("length"), "ids_crc32")
 
 
 ORDER = ["doc_id", "piece", "start", "ids_crc32"]
@@ -178,16 +213,18 @@ def _blocks(items: DataFrame, spark: SparkSession, capacity: int, level: int, na
                 used[i] = at
         return rows.assign(bin=bin_of, offset=offset, used=used)[["block", *ORDER, "length", "bin", "offset", "used"]]
 
-    schema = "block long, doc_id long, piece int, start long, ids_crc32 long, length long, bin long, offset long, used long"
+    schema = "block long, doc_id string, piece int, start long, ids_crc32 long, length long, bin long, offset long, used long"
     return items.select("block", *ORDER, "length").groupBy("block").cogroup(best.groupBy("block")).applyInPandas(assign, schema)
 
 
 def pack(docs: DataFrame, spark: SparkSession, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece of ``docs``.
 
-    Ties and repeated rows are pieces like any other; an empty table gives an empty one.
+    A null or empty text is one piece, the end mark; a null doc_id stays null. Ties and repeated rows are pieces like
+    any other; extra columns go, whatever their names; an empty table gives an empty one.
     """
-    cut_up = cut(pieces(docs, path, capacity), spark, "pieces")
+    # A doc_id goes through Python as a string: a null would make floats of the others.
+    cut_up = cut(pieces(docs, path, capacity).withColumn("doc_id", F.col("doc_id").cast("string")), spark, "pieces")
     columns = [*ORDER, "length"]
     whole = cut_up.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     done, rest, level = [whole], cut_up.where(F.col("length") < capacity).select(*columns), 0
@@ -207,7 +244,7 @@ def pack(docs: DataFrame, spark: SparkSession, path: str | None = None, capacity
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return unkeyed(out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op9_grouping_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

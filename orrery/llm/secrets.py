@@ -1,47 +1,45 @@
 """Secret scan: pattern matches plus a battery of randomness tests with false-discovery control.
 
-Every maximal run of 16 or more encoding characters is a candidate. Its encoding is inferred from the characters it
-uses, and three tests of the hypothesis *uniformly random in that encoding* are made: chi-squared uniformity
-of the alphabet, a runs test about the median code, and the lag-one serial correlation of the codes. A
-candidate is consistent with a random string if the combination of the three is not rejected.
-
-Against it stands the hypothesis *written text or an identifier*, under which the class of a character (digit,
-upper, lower, mark) rarely changes from one to the next. The number of changes gives a p-value; a Benjamini-
-Hochberg threshold on it is set for each class of lengths over all documents, so short strings, of which texts
-hold many, need more evidence than long ones.
+Every maximal run of SHORTEST or more encoding characters is a candidate. Its encoding is inferred from the characters
+it uses, and three tests are made of its codes: chi-squared uniformity over the alphabet, runs, and lag-one serial
+correlation. Each test has two sides. Held against *uniformly random in that encoding*, a candidate must not be
+rejected. Held against *written text or an identifier*, where few letters are frequent, classes of characters seldom
+change, vowels alternate with consonants and neighbours are alike, each test gives a p-value; the three are joined by
+Fisher's method, and a Benjamini-Hochberg threshold on the joint p-value is set for each class of lengths over all
+documents. So the level holds among candidates of like lengths: short ones, of which texts hold many, need more.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import cut, keyed, unkeyed
+from orrery.llm.common import cut, vectorised
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])")
+SHORTEST = 12  # characters of a candidate
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}(?![A-Za-z0-9+/_-])" % SHORTEST)
+LOWER, UPPER, TEN = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Alphabets, the first that holds all characters of a candidate is its encoding.
 ALPHABETS = (
-    ("hex", "0123456789abcdef"),
-    ("HEX", "0123456789ABCDEF"),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
-    ("BASE36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
-    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"),
+    ("hex", TEN + "abcdef"), ("HEX", TEN + "ABCDEF"), ("lower", LOWER), ("upper", UPPER), ("base32", UPPER + "234567"), ("base36", TEN + LOWER),
+    ("BASE36", TEN + UPPER), ("letters", UPPER + LOWER), ("base62", TEN + UPPER + LOWER), ("base64", UPPER + LOWER + TEN + "+/"), ("base64url", UPPER + LOWER + TEN + "_-"),
 )
 CODES = [(name, {c: i for i, c in enumerate(letters)}) for name, letters in ALPHABETS]
-CHANGE = 0.12  # how often the class of a character changes in written text and identifiers, at most
-BINS = 60  # of -log2 p
+# Written text, on the careful side: the chance that two characters agree, that neighbours are of other classes (digit,
+# upper, lower, mark), that of two neighbouring letters one is a vowel, and the correlation of neighbours in mixed classes.
+AGREE, CHANGE, ALTERNATE, ALIKE = 0.055, 0.12, 0.5, 0.15
+VOWELS = frozenset("aeiouyAEIOUY")
+UNLIKE = 10.0  # bits of evidence against a random string that end its candidacy
+BINS = 256  # of -log2 p
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -56,49 +54,72 @@ def _upper_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def battery(codes: np.ndarray, letters: int) -> tuple[float, float, float]:
-    """p-values of uniformity, runs and serial correlation of a string, were it random over so many letters."""
-    n = len(codes)
+def _lower_tail(z: float) -> float:
+    return _upper_tail(-z)
+
+
+def _cube(x: float, free: float, away: float = 0.0) -> float:
+    """About how many deviations ``x`` is above its mean, if chi-squared with ``free`` degrees and ``away`` off centre."""
+    mean, spread = free + away, 2 * (free + 2 * away) / (9 * (free + away) ** 2)
+    return ((x / mean) ** (1 / 3) - (1 - spread)) / math.sqrt(spread)
+
+
+def _binomial(n: int, k: int, p: float, least: bool) -> float:
+    """The chance of ``k`` or more (or else of ``k`` or fewer) of ``n``."""
+    some = range(k, n + 1) if least else range(k + 1)
+    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p) for i in some]
+    top = max(logs)
+    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+
+
+def joint(p: list[float]) -> float:
+    """-log2 of the p-value that Fisher's method makes of independent ones."""
+    half = -sum(math.log(min(max(x, 1e-60), 1.0)) for x in p)
+    return max(0.0, (half - math.log(sum(half**j / math.factorial(j) for j in range(len(p))))) / math.log(2))
+
+
+def _kind(c: str) -> int:
+    return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
+
+
+def battery(body: str, codes: np.ndarray, letters: int) -> tuple[list[float], list[float]]:
+    """p-values of uniformity, runs and serial correlation of a string: were it random over so many letters, and were it written."""
+    n, free = len(codes), letters - 1
     chi = float(((np.bincount(codes, minlength=letters) - n / letters) ** 2).sum() * letters / n)
-    free = letters - 1
-    uniform = _upper_tail(((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free)))
+    uniform = _upper_tail(_cube(chi, free))
+    uneven = _lower_tail(_cube(chi, free, n * max(0.0, letters * AGREE - 1)))
     high = codes >= letters / 2
     a = int(high.sum())
     b = n - a
-    if not a or not b:
-        runs = 0.0
-    else:
+    runs = 0.0
+    if a and b:
         mean = 1 + 2 * a * b / n
         spread = math.sqrt(max(2 * a * b * (2 * a * b - n) / (n * n * (n - 1)), 1e-9))
         runs = 2 * _upper_tail(abs(1 + int((high[1:] != high[:-1]).sum()) - mean) / spread)
+    kinds = [_kind(c) for c in body]
+    changes = _binomial(n - 1, sum(x != y for x, y in zip(kinds, kinds[1:])), CHANGE, least=True)
+    pairs = [(x in VOWELS) != (y in VOWELS) for x, y in zip(body, body[1:]) if x.isalpha() and y.isalpha()]
+    turns = _binomial(len(pairs), sum(pairs), ALTERNATE, least=False) if pairs else 1.0
     x = codes - codes.mean()
     power = float((x * x).sum())
-    serial = 2 * _upper_tail(abs((float((x[1:] * x[:-1]).sum()) / power * n + 1) / math.sqrt(n))) if power else 0.0
-    return uniform, runs, serial
-
-
-def _kind(c: str) -> int:
-    return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
+    r = float((x[1:] * x[:-1]).sum()) / power if power else 1.0
+    serial = 2 * _upper_tail(abs(r * math.sqrt(n) + 1 / math.sqrt(n)))
+    # Marks between words push neighbours apart as well, so this test never tells more than one in twenty.
+    apart = max(0.05, _lower_tail((r - ALIKE) * math.sqrt(n))) if len(set(kinds)) > 1 else 1.0
+    return [uniform, runs, serial], [uneven, 2 ** -joint([changes, turns]), apart]
 
 
 def evidence(token: str) -> tuple[str, float] | None:
-    """The inferred encoding and -log2 of the p-value under written text; None if the string isn't random."""
+    """The inferred encoding and -log2 of the joint p-value under written text; None if the string isn't random."""
     body = token.rstrip("=")
     used = set(body)
-    if len(used) < 6 or body.isdigit():
+    if len(used) < 2 or body.isdigit():
         return None
     name, codes = next(((name, codes) for name, codes in CODES if used <= codes.keys()), (None, None))
     if name is None:
         return None
-    p = [min(max(x, 1e-12), 1.0) for x in battery(np.fromiter((codes[c] for c in body), np.int64, len(body)), len(codes))]
-    fisher = -2 * sum(map(math.log, p))
-    if _upper_tail(((fisher / 6) ** (1 / 3) - (1 - 2 / 54)) / math.sqrt(2 / 54)) < 0.001:
-        return None
-    kinds = [_kind(c) for c in body]
-    n, changes = len(body) - 1, sum(a != b for a, b in zip(kinds, kinds[1:]))
-    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(CHANGE) + (n - k) * math.log(1 - CHANGE) for k in range(changes, n + 1)]
-    top = max(logs)
-    return name, max(0.0, -(top + math.log(sum(math.exp(x - top) for x in logs))) / math.log(2))
+    random, written = battery(body, np.fromiter((codes[c] for c in body), np.int64, len(body)), len(codes))
+    return (name, joint(written)) if joint(random) < UNLIKE else None
 
 
 def length_class(n: int) -> int:
@@ -106,21 +127,25 @@ def length_class(n: int) -> int:
     return int(4 * math.log2(n))
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
-            text = text if isinstance(text, str) else ""
-            base = base_spans(text)
-            more = []
-            for m in CANDIDATE.finditer(text):
-                if e := evidence(m[0]):
-                    more.append({"s": m.start(), "e": m.end(), "encoding": e[0], "bin": int(min(e[1], BINS)), "klass": length_class(m.end() - m.start())})
-            rows.append((doc_id, [{"s": s, "e": e, "k": k} for s, e, k in base], more))
-        yield pd.DataFrame(rows, columns=["doc_id", "base", "tests"])
+SCANNED = "base array<struct<s:int,e:int,k:int>>, tests array<struct<s:int,e:int,encoding:string,bin:int,klass:int>>"
+
+
+@vectorised(SCANNED)
+def _scan(text: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t in text:
+        t = t if isinstance(t, str) else ""
+        more = []
+        for m in CANDIDATE.finditer(t):
+            if e := evidence(m[0]):
+                more.append({"s": m.start(), "e": m.end(), "encoding": e[0], "bin": int(min(e[1], BINS)), "klass": length_class(m.end() - m.start())})
+        rows.append(([{"s": s, "e": e, "k": k} for s, e, k in base_spans(t)], more))
+    return pd.DataFrame(rows, columns=["base", "tests"])
 
 
-SCANNED = "doc_id long, base array<struct<s:int,e:int,k:int>>, tests array<struct<s:int,e:int,encoding:string,bin:int,klass:int>>"
+def scan(docs: DataFrame) -> DataFrame:
+    """The base spans of each text and the joint evidence of each of its candidates."""
+    return docs.select("doc_id", _scan(F.col("text").cast("string")).alias("x")).select("doc_id", "x.base", "x.tests")
 
 
 def thresholds(scanned: DataFrame, q: float) -> DataFrame:
@@ -141,7 +166,7 @@ def find_secrets(docs: DataFrame, spark: SparkSession, q: float = 1e-3) -> DataF
     A null text counts as empty. Rows are independent but for the thresholds, so ties and repeated rows need no
     rule; an empty table gives an empty one.
     """
-    scanned = cut(unkeyed(keyed(docs).mapInPandas(_scan, SCANNED)), spark, "secrets")
+    scanned = cut(scan(docs), spark, "secrets")
     least = {r["klass"]: r["least"] for r in thresholds(scanned, q).collect()}  # a row for each class of lengths
     limit = F.create_map(*[F.lit(x) for kv in least.items() for x in kv]) if least else F.lit(None).cast("map<int,int>")
     sure = F.filter("tests", lambda t: t["bin"] >= F.coalesce(limit[t["klass"]], F.lit(BINS + 1)))
@@ -170,18 +195,19 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(docs: DataFrame, spark: SparkSession, q: float = 1e-3) -> DataFrame:
-    """``docs`` with each secret of a text replaced by its kind in brackets; ``n_chars`` follows.
+    """``docs`` with each secret of a text replaced by its kind in brackets; a column ``n_chars``, if there is one, follows.
 
-    The texts are scanned twice, once for the thresholds and once to replace, and never shuffled.
+    Null texts stay null, repeated rows are rows like any other, an empty table gives an empty one. The texts are
+    scanned twice, once for the thresholds and once to replace, and never shuffled; no other column leaves the JVM.
     """
-    scanned = keyed(docs).mapInPandas(_scan, SCANNED)
-    least = {r["klass"]: r["least"] for r in thresholds(scanned, q).collect()}
+    least = {r["klass"]: r["least"] for r in thresholds(scan(docs), q).collect()}  # a row for each class of lengths
 
-    def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(text=[None if not isinstance(t, str) else replaced(t, least) for t in batch["text"]])
+    @vectorised("string")
+    def cover(text: pd.Series) -> pd.Series:
+        return pd.Series([None if not isinstance(t, str) else replaced(t, least) for t in text], dtype=object)
 
-    return docs.mapInPandas(cover, docs.schema).withColumn("n_chars", F.length("text").cast("long"))
+    rows = docs.withColumn("text", cover(F.col("text").cast("string")))
+    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
 
 
 def replaced(text: str, least: dict[int, int]) -> str:
