@@ -70,18 +70,5 @@ def drop(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Stands for a null id on the way through Python, where a null would turn ids into floats.
-NO_ID = -(1 << 63)
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id and text only; ``unkeyed`` brings null ids back."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
-def unkeyed(df: DataFrame) -> DataFrame:
-    return df.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,8 +5,8 @@ in K slots; the conjunction of the K words read for an n-gram has the bits of al
 text's count for a language is the number of its n-grams with that bit, less what false positives add at the
 filter's filling; the language with the highest corrected count is predicted.
 
-The filter is learned from a bounded sample (``PER_LANGUAGE`` expected documents of each language, ``GRAMS``
-n-grams in all); predictions read whole texts.
+The filter is learned from a bounded sample (``PER_LANGUAGE`` expected documents of each language, their ``GRAMS`` most
+frequent n-grams); predictions read whole texts.
 """
 
 from __future__ import annotations
@@ -16,14 +16,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import keyed, table, unkeyed
+from orrery.llm.common import table, vectorised
 
 SIZES = (2, 3, 4)  # letters of an n-gram; a run of other characters counts as one blank
 PER_LANGUAGE = 1500
-GRAMS = 300_000
+GRAMS = 100_000  # of a language
 SLOTS, K = 1 << 21, 3
 SHARE = 0.4  # of the highest rate of an n-gram that a language needs, to contain it
 LEAST = 4  # times an n-gram must occur
@@ -132,7 +132,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = GRAMS) ->
                     yield pd.DataFrame({"lang": lang, "gram": g.view(np.int64), "n": n})
 
     counted = sample.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "gram", "lang").limit(most).toPandas()
+    # Each language has its own ranks, so none is crowded out; ``most`` grams for each, LEAST times only where it has so many.
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
+    top = ranked.where(F.col("rank") <= most).select("lang", "gram", "n").toPandas()
+    rare = top.groupby("lang")["n"].transform("max") < 10 * LEAST  # a language of few texts keeps all its grams
+    top = top[rare | (top["n"] >= LEAST)].copy()
     languages = sorted(sizes)
     top["rate"] = top["n"] / top.groupby("lang")["n"].transform("sum")
     inside = top[top["rate"] >= SHARE * top.groupby("gram")["rate"].transform("max")]
@@ -140,16 +144,15 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = GRAMS) ->
 
 
 def identify(docs: DataFrame, spark: SparkSession, model: Filter | None = None) -> DataFrame:
-    """doc_id, lang_pred and score of each row. Null, empty and letterless texts: ``und``, 0. Extra columns go."""
+    """doc_id, lang_pred and score of each row. Null, empty and letterless texts: ``und``, 0. Ties go to the language
+    that comes first by name; repeated rows get the same answer; extra columns go; an empty table gives an empty one."""
     sent = spark.sparkContext.broadcast(model or fit(docs))  # bounded: SLOTS words
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = sent.value
-        for batch in batches:
-            found = [model.predict(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
+    @vectorised("lang_pred string, score double")
+    def run(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sent.value.predict(t) for t in text], columns=["lang_pred", "score"])
 
-    return unkeyed(keyed(docs).mapInPandas(run, "doc_id long, lang_pred string, score double"))
+    return docs.select("doc_id", run(F.col("text").cast("string")).alias("x")).select("doc_id", "x.*")
 
 
 def op4_language_bitmask_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,32 +3,34 @@
 Words are mapped to classes (insult, threat, target, negation, reported speech, other), and each clause, a
 sequence of classes, is read by the composition of small transducers: one marks what stands in the scope of a
 negation, one what stands in reported speech, one what is aimed at a target. The output tells for each insult
-and threat in which of these settings it stands, and each setting has a weight; a text's score joins the weights
-of its clauses as independent evidence.
+and threat in which of these settings it stands, and each setting has a weight. A clause counts once, in its weightiest
+setting; a text's score is logistic in the logarithms of the numbers of its clauses of each setting, so a second
+clause tells more than the first alone, but less than twice as much.
 
 The insults are learned from labelled rows: words, and stems that several words share, which nearly only toxic
 documents hold. A greedy cover of the toxic documents keeps those that explain many of them and leaves the
-accidents. The weights of the settings start from those of the grammar and follow the labels.
+accidents. The weights of the settings are fitted to the labels, all together; those of the grammar are their prior.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import keyed, put, table, unkeyed
+from orrery.llm.common import drop, put, table, vectorised
 from orrery.llm.langid import fold
 
 SAMPLE = 20_000  # labelled rows that are learned from, at most
-CANDIDATES = 20_000  # words and stems looked at
 STEMS = (4, 5, 6)  # letters of a stem
 PURE, COVER = 0.96, 0.01  # share of toxic documents among a word's, share of all toxic ones that it must add
-CACHED = 200_000
+CACHED = 50_000
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 
@@ -41,12 +43,14 @@ REPORTED = frozenset("said says wrote writes quoted claimed called sagte schrieb
 #: Classes: insult, threat, target, negation, reported speech, other, end of a clause.
 INSULT_, THREAT_, TARGET_, NEGATION_, REPORTED_, OTHER_, END_ = "itynro."
 
-#: What a clause's evidence weighs before labels are seen: (class, negated, reported, aimed).
+#: What a clause adds to the log-odds before labels are seen: (class, negated, reported, aimed).
 PRIOR = {
-    (c, n, r, a): (0.8 if c == "i" else 0.45) * (0.5 if n else 1) * (0.6 if r else 1) * (1.2 if a else 1)
+    (c, n, r, a): (4.0 if c == "i" else 1.0) - (1.5 if n else 0.0) - (1.0 if r else 0.0) + (0.5 if a else 0.0)
     for c in "it" for n in (False, True) for r in (False, True) for a in (False, True)
 }
-STRENGTH = 4.0  # documents that the prior counts for
+SETTINGS = sorted(PRIOR)
+BIAS = -3.0  # log-odds of a text without clauses
+STRENGTH = 1.0  # of the prior: a deviation by one costs as much as one standard deviation of a normal variable
 
 
 class Transducer:
@@ -109,28 +113,53 @@ def aiming(reach: int = 4) -> Transducer:
 GRAMMAR, START = (negating() >> reporting() >> aiming()).compiled("itynro.")
 
 
-def settings(classes: str) -> list[tuple]:
-    """(class, negated, reported, aimed) of each insult and threat in a string of classes."""
+def settings(classes: str) -> list[list[tuple]]:
+    """(class, negated, reported, aimed) of the insults and threats of each clause that has any, in a string of classes."""
     found = []
     for clause in classes.split(END_):
         if INSULT_ in clause or THREAT_ in clause:
-            state = START
+            state, hits = START, []
             for s in clause:
                 out, state = GRAMMAR[state][s]
                 if s in "it":
-                    found.append(out)
+                    hits.append(out)
+            found.append(hits)
     return found
 
 
+def counted(classes: str) -> list[int]:
+    """How many clauses there are of each setting; a clause counts in the one that the grammar weighs most."""
+    n = Counter(max(hits, key=lambda x: (PRIOR[x], x)) for hits in settings(classes))
+    return [n[x] for x in SETTINGS]
+
+
+def fitted(counts: list[list[int]], toxic: list[int], rows: list[int], rounds: int = 30) -> tuple[float, list[float]]:
+    """Bias and weights of the settings by Newton's method: logistic regression with the grammar's weights as prior."""
+    prior = np.array([BIAS, *[PRIOR[x] for x in SETTINGS]])
+    if not counts:
+        return BIAS, prior[1:].tolist()
+    x = np.column_stack([np.ones(len(counts)), np.log2(1 + np.array(counts, float))])
+    y, n, w = np.array(toxic, float), np.array(rows, float), prior.copy()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (n * (y - p)) - (w - prior) / STRENGTH**2
+        curve = (x * (n * p * (1 - p))[:, None]).T @ x + np.eye(len(w)) / STRENGTH**2
+        step = np.linalg.solve(curve, slope)
+        w += np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(w[0]), w[1:].tolist()
+
+
 class Model:
-    """Words and stems that insult, and the weight of each setting."""
+    """Words and stems that insult, the bias, and the weight of each setting."""
 
-    def __init__(self, words: set[str], stems: set[str], weights: dict | None = None):
-        self.words, self.stems, self.weights = words, stems, weights or PRIOR
+    def __init__(self, words: set[str], stems: set[str], bias: float = BIAS, weights: list[float] | None = None):
+        self.words, self.stems, self.bias, self.weights = words, stems, bias, weights or [PRIOR[x] for x in SETTINGS]
         self.known: dict[str, str] = {}
 
     def __getstate__(self):
-        return self.words, self.stems, self.weights
+        return self.words, self.stems, self.bias, self.weights
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -162,11 +191,9 @@ class Model:
         return "".join(out)
 
     def score(self, text: str | None) -> float:
-        """Of a text: 0 to 1. Null and empty: 0."""
-        left = 1.0
-        for x in set(settings(self.read(text))) if isinstance(text, str) and text else ():
-            left *= 1 - min(0.999, self.weights.get(x, 0.0))
-        return 1 - left
+        """Of a text: 0 to 1. Null and empty: that of a text without clauses."""
+        n = counted(self.read(text)) if isinstance(text, str) and text else ()
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.bias + sum(w * math.log2(1 + k) for w, k in zip(self.weights, n) if k)))))
 
 
 def features(text: str) -> set[str]:
@@ -195,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, spark: SparkSession, most: int = SAM
     toxic, clean = rows.where("toxic = 1"), rows.where("toxic = 0")
     n_toxic = toxic.count()
     least = max(4, round(COVER * n_toxic))
-    top = _counted(toxic, None, "n").where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(CANDIDATES).toPandas()
+    top = _counted(toxic, None, "n").where(F.col("n") >= least).toPandas()  # of at most ``most`` rows
     bad = dict(zip(top["feature"], top["n"]))
     good = {r["feature"]: r["n"] for r in _counted(clean, set(bad), "n").collect()} if bad else {}
     pure = {f for f, n in bad.items() if n / (n + good.get(f, 0)) >= PURE}
@@ -226,42 +253,42 @@ def fit(docs: DataFrame, labels: DataFrame, spark: SparkSession, most: int = SAM
         (stems if f.endswith("*") else words).add(f.rstrip("*"))
     model = Model(words, stems)
 
-    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            n: Counter = Counter()
-            for t, y in zip(batch["text"], batch["toxic"]):
-                for c, neg, rep, aim in set(settings(model.read(t))):
-                    n[c, neg, rep, aim, int(y)] += 1
-            yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["c", "neg", "rep", "aim", "toxic", "n"])
-
-    tally: Counter = Counter()
-    counts = rows.select("text", "toxic").mapInPandas(seen, "c string, neg boolean, rep boolean, aim boolean, toxic int, n long")
-    for r in counts.groupBy("c", "neg", "rep", "aim", "toxic").agg(F.sum("n").alias("n")).collect():  # a row for each setting and label
-        tally[(r["c"], r["neg"], r["rep"], r["aim"]), r["toxic"]] += r["n"]
-    model.weights = {k: (tally[k, 1] + STRENGTH * min(p, 0.95)) / (tally[k, 1] + tally[k, 0] + STRENGTH) for k, p in PRIOR.items()}
+
+    @vectorised("array<long>")
+    def clauses(text: pd.Series) -> pd.Series:
+        return pd.Series([counted(model.read(t)) for t in text], dtype=object)
+
+    seen = rows.select(clauses("text").alias("n"), "toxic").groupBy("n", "toxic").agg(F.count(F.lit(1)).alias("rows")).collect()  # at most ``most``
+    seen = sorted(seen, key=lambda r: (list(r["n"]), r["toxic"]))
+    model.bias, model.weights = fitted([list(r["n"]) for r in seen], [int(r["toxic"] > 0) for r in seen], [r["rows"] for r in seen])
+    drop(spark, path)
     return model
 
 
-def score(docs: DataFrame, spark: SparkSession, model: Model) -> DataFrame:
-    """doc_id and score of each row of ``docs``. Null and empty texts score 0; extra columns go."""
-    sent = spark.sparkContext.broadcast(model)  # at most CANDIDATES words
+def scorer(spark: SparkSession, model: Model):
+    """The scores of a column of texts."""
+    sent = spark.sparkContext.broadcast(model)  # as many words and stems as the sample's toxic rows need for a cover
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [sent.value.score(t) for t in batch["text"]]})
+    @vectorised("double")
+    def run(text: pd.Series) -> pd.Series:
+        model = sent.value
+        out = pd.Series([model.score(t) for t in text], dtype=float)
+        model.known.clear()
+        return out
 
-    return unkeyed(keyed(docs).mapInPandas(run, "doc_id long, score double"))
+    return run
 
 
-def without_toxic(docs: DataFrame, spark: SparkSession, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``least``, as they are; a row isn't moved between workers."""
-    sent = spark.sparkContext.broadcast(model)
+def score(docs: DataFrame, spark: SparkSession, model: Model) -> DataFrame:
+    """doc_id and score of each row of ``docs``. Null and empty texts score as texts without insults or threats; rows are
+    independent, so repeated ones score alike; extra columns go, whatever their names; an empty table gives an empty one."""
+    return docs.select("doc_id", scorer(spark, model)(F.col("text").cast("string")).alias("score"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[[sent.value.score(t) < least for t in batch["text"]]]
 
-    return docs.mapInPandas(run, docs.schema)
+def without_toxic(docs: DataFrame, spark: SparkSession, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``least``, as they are. Only texts leave the JVM, and no row is moved;
+    nulls, repeated rows and empty tables are as in ``score``."""
+    return docs.where(scorer(spark, model)(F.col("text").cast("string")) < least)
 
 
 def op8_weighted_clause_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,6 +197,6 @@ def test_held_out_accuracy(spark):
 
 
 def test_grammar_composes():
-    assert toxicity.settings("tny" "oi.")[1][:2] == ("i", True)
-    assert toxicity.settings("roi.i.") == [("i", False, True, False), ("i", False, False, False)]
-    assert toxicity.settings("yi.") == [("i", False, False, True)]
+    assert toxicity.settings("tny" "oi.")[0][1][:2] == ("i", True)
+    assert toxicity.settings("roi.i.") == [[("i", False, True, False)], [("i", False, False, False)]]
+    assert toxicity.settings("yi.") == [[("i", False, False, True)]]
