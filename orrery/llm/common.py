@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROWS_AT_ONCE = 1000  # texts that pass between an executor and Python together
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
@@ -58,8 +61,22 @@ def trim() -> None:
 
 
 def vectorised(schema: str):
-    """A pandas UDF of a function of series; it is made when it is called, as its schema is read by a session."""
-    return lambda f: lambda *columns: F.pandas_udf(f, schema)(*columns)
+    """A pandas UDF of a function of series; it is made when it is called, as its schema is read by a session.
+
+    Batches of whole texts are held at once by an executor and its Python worker, so the session's batches are made
+    no larger than ROWS_AT_ONCE.
+    """
+
+    def called(f):
+        def on(*columns):
+            conf, key = SparkSession.active().conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+            if not 0 < int(conf.get(key, "10000")) <= ROWS_AT_ONCE:
+                conf.set(key, str(ROWS_AT_ONCE))
+            return F.pandas_udf(f, schema)(*columns)
+
+        return on
+
+    return called
 
 
 def drop(spark: SparkSession, *paths: str) -> None:

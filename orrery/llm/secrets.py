@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,6 +65,7 @@ def _cube(x: float, free: float, away: float = 0.0) -> float:
     return ((x / mean) ** (1 / 3) - (1 - spread)) / math.sqrt(spread)
 
 
+@lru_cache(maxsize=1 << 14)
 def _binomial(n: int, k: int, p: float, least: bool) -> float:
     """The chance of ``k`` or more (or else of ``k`` or fewer) of ``n``."""
     some = range(k, n + 1) if least else range(k + 1)
@@ -82,33 +84,35 @@ def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
 
-def battery(body: str, codes: np.ndarray, letters: int) -> tuple[list[float], list[float]]:
+def battery(body: str, codes: list[int], letters: int) -> tuple[list[float], list[float]]:
     """p-values of uniformity, runs and serial correlation of a string: were it random over so many letters, and were it written."""
     n, free = len(codes), letters - 1
-    chi = float(((np.bincount(codes, minlength=letters) - n / letters) ** 2).sum() * letters / n)
+    chi = sum(k * k for k in Counter(codes).values()) * letters / n - n
     uniform = _upper_tail(_cube(chi, free))
     uneven = _lower_tail(_cube(chi, free, n * max(0.0, letters * AGREE - 1)))
-    high = codes >= letters / 2
-    a = int(high.sum())
+    high = [2 * c >= letters for c in codes]
+    a = sum(high)
     b = n - a
     runs = 0.0
     if a and b:
         mean = 1 + 2 * a * b / n
         spread = math.sqrt(max(2 * a * b * (2 * a * b - n) / (n * n * (n - 1)), 1e-9))
-        runs = 2 * _upper_tail(abs(1 + int((high[1:] != high[:-1]).sum()) - mean) / spread)
+        runs = 2 * _upper_tail(abs(1 + sum(x != y for x, y in zip(high, high[1:])) - mean) / spread)
     kinds = [_kind(c) for c in body]
     changes = _binomial(n - 1, sum(x != y for x, y in zip(kinds, kinds[1:])), CHANGE, least=True)
     pairs = [(x in VOWELS) != (y in VOWELS) for x, y in zip(body, body[1:]) if x.isalpha() and y.isalpha()]
     turns = _binomial(len(pairs), sum(pairs), ALTERNATE, least=False) if pairs else 1.0
-    x = codes - codes.mean()
-    power = float((x * x).sum())
-    r = float((x[1:] * x[:-1]).sum()) / power if power else 1.0
+    middle = sum(codes) / n
+    x = [c - middle for c in codes]
+    power = sum(c * c for c in x)
+    r = sum(a * b for a, b in zip(x, x[1:])) / power if power else 1.0
     serial = 2 * _upper_tail(abs(r * math.sqrt(n) + 1 / math.sqrt(n)))
     # Marks between words push neighbours apart as well, so this test never tells more than one in twenty.
     apart = max(0.05, _lower_tail((r - ALIKE) * math.sqrt(n))) if len(set(kinds)) > 1 else 1.0
     return [uniform, runs, serial], [uneven, 2 ** -joint([changes, turns]), apart]
 
 
+@lru_cache(maxsize=1 << 14)
 def evidence(token: str) -> tuple[str, float] | None:
     """The inferred encoding and -log2 of the joint p-value under written text; None if the string isn't random."""
     body = token.rstrip("=")
@@ -118,7 +122,7 @@ def evidence(token: str) -> tuple[str, float] | None:
     name, codes = next(((name, codes) for name, codes in CODES if used <= codes.keys()), (None, None))
     if name is None:
         return None
-    random, written = battery(body, np.fromiter((codes[c] for c in body), np.int64, len(body)), len(codes))
+    random, written = battery(body, [codes[c] for c in body], len(codes))
     return (name, joint(written)) if joint(random) < UNLIKE else None
 
 

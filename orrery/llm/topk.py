@@ -1,17 +1,16 @@
 """Exact top-k inner products by no-random-access aggregation.
 
 Each dimension of a block of vectors is a list sorted by the component. A query reads all lists in step, from the
-high end where its own component is positive and from the low end where it is negative. After each round a vector
-has a lower bound (what was read of it, plus the least that its unread components can give) and an upper bound
-(what was read, plus the most they can give, which the last values read in each list bound). A round ends the
-reading when few vectors have an upper bound that reaches the k-th lower bound; only those then get their final
-score. Bounds are looked at after a quarter and a half of each list. A query that is still open then gets the final
-scores of all vectors of the block, by a plain product; so does every query of a block whose half is under 4 * k
-vectors, and of components whose scores may reach 2^53.
-
-Rounds double in depth and are made for a block of queries at once, as matrix products over read masks. Blocks of
-vectors and of queries are bounded and meet in a join on the query block, so neither side is broadcast or
-collected; partial results are k rows for each query and block.
+high end where its own component is positive and from the low end where it is negative. What is read of a vector is
+summed up, and never looked up elsewhere. After each of DEPTHS a vector has a lower bound (its sum, plus the least that
+its unread components can give) and an upper bound (its sum, plus the most they can give, which the last values read in
+each list bound). Vectors whose upper bound is below the query's k-th lower bound can't qualify: they are read no
+further. A query stops once no more than k vectors are left, whose scores are then resolved; one that reads its lists to
+their ends has its scores in the sums. In many independent dimensions bounds close late: README gives the shares.
+
+Depths are taken for a block of queries at once, as matrix products over what is newly read. Blocks of vectors and of
+queries are bounded and meet in a join on the query block, so neither side is broadcast or collected; partial results
+are k rows for each query and block.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from orrery.llm.common import cut, table
 SCALE = 1024
 VECTORS, QUERIES = 8192, 512  # of a block
 TOGETHER = 64  # blocks of queries in a task
-ROUNDS = (1 / 4, 1 / 2)  # shares of a list that are read before all of it is
+DEPTHS = (1 / 32, 1 / 8, 1 / 2, 1)  # shares of each list that are read before bounds are looked at
 
 
 def scaled(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -66,66 +65,64 @@ class Lists:
         np.put_along_axis(self.rank, order, np.arange(len(x))[:, None], axis=0)
         self.sorted = np.take_along_axis(x, order, axis=0)
 
-    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query its id, and the ids and scores of the best k vectors of this block, itself left out."""
+    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
+        """For each query its id, the ids and scores of the best k vectors of this block, itself left out, and the share
+        of each list that it read."""
         n, x = len(self.x), self.x
         width = max(q.shape[1], x.shape[1])
-        q = np.pad(q, ((0, 0), (0, width - q.shape[1])))
-        xp = np.pad(x, ((0, 0), (0, width - x.shape[1])))
-        most = float(np.abs(q).max(initial=0)) * float(np.abs(xp).max(initial=0)) * max(width, 1)
-        if most >= 2**53:  # beyond doubles: exact integers
-            for i, qid in enumerate(query_ids.tolist()):
-                yield (qid, *self._best(np.flatnonzero(self.ids != qid), xp @ q[i] if most < 2**62 else (xp.astype(object) @ q[i].astype(object)), k))
-            return
-        up, down, full = np.maximum(q, 0).astype(float), np.minimum(q, 0).astype(float), xp.astype(float)
-        rank = np.pad(self.rank, ((0, 0), (0, width - self.rank.shape[1])))
-        line = np.pad(self.sorted, ((0, 0), (0, width - self.sorted.shape[1]))).astype(float)
-        open_ = np.arange(len(q))
-        for depth in ROUNDS:
-            t = int(n * depth)
-            if not len(open_) or t < 4 * k or n - t < 1:
+        fill = lambda a: np.pad(a, ((0, 0), (0, width - a.shape[1])))
+        q, rank = fill(q), fill(self.rank)
+        most = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * max(width, 1)
+        kind = float if most < 2**51 else np.int64 if most < 2**60 else object  # each exact for its scores
+        none = -4 * most - 1  # below all bounds
+        up, down = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
+        full, line = fill(x).astype(kind), fill(self.sorted).astype(kind)
+        left, cols, before = np.arange(len(q)), np.arange(n), 0
+        read = np.zeros((len(q), n), kind)
+        alive = query_ids[:, None] != self.ids[None, :]
+        for depth in DEPTHS:
+            t = n if depth == 1 else int(n * depth)
+            if t <= before or not len(left):
                 continue
-            high, low = rank >= n - t, rank < t  # read from the top, from the bottom
-            u, d = up[open_], down[open_]
-            read = u @ (full * high).T + d @ (full * low).T
-            # Unread components lie between the end of the list and the value last read.
-            most_left = (u * line[n - t]).sum(1) + (d * line[t - 1]).sum(1)
-            least_left = (u * line[0]).sum(1) + (d * line[-1]).sum(1)
-            upper = read + most_left[:, None] - (u * line[n - t]) @ high.T.astype(float) - (d * line[t - 1]) @ low.T.astype(float)
-            lower = read + least_left[:, None] - (u * line[0]) @ high.T.astype(float) - (d * line[-1]) @ low.T.astype(float)
-            own = query_ids[open_][:, None] == self.ids[None, :]
-            lower[own], upper[own] = -np.inf, -np.inf
-            kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
-            reach = upper >= kth[:, None]
-            done = reach.sum(1) <= max(4 * k, n // 64)
+            u, d, r = up[left], down[left], rank[cols]
+            high, low = (r >= n - t) & (r < n - before), (r < t) & (r >= before)  # newly read from the top, from the bottom
+            read = read + u @ (full[cols] * high).T + d @ (full[cols] * low).T
+            before, lower, upper = t, read, read
+            if t < n:  # unread components lie between the end of the list and the value last read
+                above, below = (r < n - t).T.astype(kind), (r >= t).T.astype(kind)
+                upper = read + (u * line[n - t]) @ above + (d * line[t - 1]) @ below
+                lower = read + (u * line[0]) @ above + (d * line[-1]) @ below
+            lower = np.where(alive, lower, none)
+            kth = np.partition(lower, len(cols) - k, axis=1)[:, len(cols) - k] if len(cols) > k else np.full(len(left), none)
+            alive = alive & (upper >= kth[:, None])
+            done = (alive.sum(1) <= k) | (t == n)
             for i in np.flatnonzero(done).tolist():
-                at = np.flatnonzero(reach[i])
-                yield (int(query_ids[open_[i]]), *self._best(at, None, k, full, q[open_[i]]))
-            open_ = open_[~done]
-        if len(open_):
-            final = q[open_].astype(float) @ full.T  # all lists are read to their ends
-            for i, j in enumerate(open_.tolist()):
-                yield (int(query_ids[j]), *self._best(np.flatnonzero(self.ids != query_ids[j]), final[i], k))
-
-    def _best(self, at: np.ndarray, scores, k: int, full=None, q=None) -> tuple[np.ndarray, np.ndarray]:
-        s = full[at] @ q.astype(float) if scores is None else scores[at]
-        ids = self.ids[at]
-        if len(s) > k:
-            near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-            s, ids = s[near], ids[near]
-        order = np.lexsort((ids, -s))[:k]
-        return ids[order], s[order].astype(np.int64)
+                at = np.flatnonzero(alive[i])
+                scores = read[i, at] if t == n else full[cols[at]] @ q[left[i]].astype(kind)
+                yield (int(query_ids[left[i]]), *_best(self.ids[cols[at]], scores, k), t / n)
+            some = alive[~done].any(0)  # vectors that no query of the block needs any more are read no further
+            left, cols, read, alive = left[~done], cols[some], read[~done][:, some], alive[~done][:, some]
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``k`` by exact scores, which are then kept to 64 bits."""
+    order = np.lexsort((ids, -scores))[:k]
+    some = scores[order]
+    return ids[order], (np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in some.tolist()], np.int64) if some.dtype == object else some.astype(np.int64))
 
 
 def search(vectors: DataFrame, spark: SparkSession, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` best vectors for each row of ``queries``.
 
+    Scores are exact; one beyond 64 bits is written as the nearest 64-bit number, and ties of such go to the smaller vec_id.
     Both are (vec_id, embedding). A query never finds its own id; repeated rows of another id are found as often as
     they occur, ties go to the smaller vec_id. Vectors of unequal length compare as if filled up with zeros. Rows
     without id take no part; an empty side gives an empty result.
     """
     v, n_v = blocks(scaled(vectors), VECTORS, "v", spark)
-    q, n_q = blocks(scaled(queries).dropDuplicates(["vec_id"]), QUERIES, "q", spark)
+    # Of repeated query rows the one of the least components asks.
+    asked = scaled(queries).groupBy("vec_id").agg(F.min("x").alias("x"))
+    q, n_q = blocks(asked, QUERIES, "q", spark)
     # Each group of query blocks meets each block of vectors once; both are bounded in bytes.
     v = v.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit((n_q - 1) // TOGETHER))))
     q = q.withColumn("g", F.expr(f"q div {TOGETHER}").cast("int")).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
@@ -137,7 +134,7 @@ def search(vectors: DataFrame, spark: SparkSession, queries: DataFrame, k: int =
             lists = Lists(ids, np.frombuffer(left["v_x"].iloc[0], "<i8").reshape(len(ids), -1))
             for r in right.itertuples():
                 qids = np.frombuffer(r.q_ids, "<i8")
-                for a, found, s in lists.search(qids, np.frombuffer(r.q_x, "<i8").reshape(len(qids), -1), k):
+                for a, found, s, _ in lists.search(qids, np.frombuffer(r.q_x, "<i8").reshape(len(qids), -1), k):
                     rows += zip([a] * len(found), found.tolist(), s.tolist())
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
