@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from orrery.functions.text import collapse_whitespace, instruction_lines, normalize_body, text, token_estimate
+from orrery.functions.text import collapse_whitespace, instruction_lines, lines, normalize_body, text, token_estimate
 
 # Bodies that teach nothing.
 TRIVIAL = (
@@ -25,7 +25,8 @@ TAC_MARKS = (
     ("tac_stack_underflow", r"(?i)\bstack[_\s-]*underflow\b"),
     ("tac_extraction_error", r"(?i)\berror\s+extracting\s+tac\b"),
     ("tac_analysis_error", r"(?i)\btac\s+(?:analysis|extraction)\s+(?:failed|error)\b"),
-    ("tac_unresolved_jump", r"(?i)\b(?:goto|jump)\s+(?:unresolved|unknown|error)\b|\bunresolved[_\s-]*(?:jump|goto|target)\b"),
+    ("tac_unresolved_jump", r"(?i)\b(?:goto|jump)\s+(?:unresolved|unknown|error)\b"),
+    ("tac_unresolved_jump", r"(?i)\bunresolved[_\s-]*(?:jump|goto|target)\b"),
 )
 # Comments and headers in a prompt that quote the source, and what a completion must hold.
 SOURCE_COMMENT = (
@@ -33,7 +34,7 @@ SOURCE_COMMENT = (
     r"Function\s+signature|ABI|Source|Contract\s+name|Returns?|Parameters?|Inputs?)\s*:|Function\s*:(?!\s*selector\b)|param\[[^\]]+\]\b)"
 )
 SOURCE_HEADER = (
-    r"(?im)^\s*function\s+(?!selector_[0-9a-fA-F]{8}\b|function_0x[0-9a-fA-F]{8}\b|bytecode(?:_[A-Za-z0-9_]+)?\b|"
+    r"(?i)^\s*function\s+(?!selector_[0-9a-fA-F]{8}\b|function_0x[0-9a-fA-F]{8}\b|bytecode(?:_[A-Za-z0-9_]+)?\b|"
     r"fallback(?:_function)?\b|receive\b|internal_[A-Za-z0-9_]+\b)[A-Za-z_$][A-Za-z0-9_$]*\s*\([^)]*\)\s*:\s*$"
 )
 ENTRY_POINT = r"\b(?:function\s+[A-Za-z_$][A-Za-z0-9_$]*\s*\(|constructor\s*\(|fallback\s*\(|receive\s*\(|modifier\s+[A-Za-z_$][A-Za-z0-9_$]*\s*\()"
@@ -70,13 +71,13 @@ def is_partial(code: Column | str, name: Column | str | None = None, flag: Colum
 def tac_reasons(tac: Column | str, marks: tuple[tuple[str, str], ...] = TAC_MARKS) -> Column:
     t = text(tac)
     blank = collapse_whitespace(t) == ""
-    return reasons((blank, "tac_empty"), *[(t.rlike(p), n) for n, p in marks], (~blank & (instruction_lines(t) == 0), "tac_no_operations"))
+    return F.array_distinct(reasons((blank, "tac_empty"), *[(t.rlike(p), n) for n, p in marks], (~blank & (instruction_lines(t) == 0), "tac_no_operations")))
 
 
 def leakage_reasons(prompt: Column | str) -> Column:
-    """Comments or headers that quote the source."""
+    """Comments or headers that quote the source; a header stands on one line."""
     t = text(prompt)
-    return reasons((t.rlike(SOURCE_COMMENT), "prompt_source_metadata_leak"), (t.rlike(SOURCE_HEADER), "prompt_source_signature_leak"))
+    return reasons((t.rlike(SOURCE_COMMENT), "prompt_source_metadata_leak"), (F.exists(lines(t), lambda x: x.rlike(SOURCE_HEADER)), "prompt_source_signature_leak"))
 
 
 def completion_reasons(output: Column | str, entry: str = ENTRY_POINT) -> Column:
@@ -85,10 +86,16 @@ def completion_reasons(output: Column | str, entry: str = ENTRY_POINT) -> Column
     return reasons((empty, "output_empty"), (~empty & is_partial(output), "partial_placeholder"), (~empty & ~text(output).rlike(entry), "output_missing_solidity_entrypoint"))
 
 
+def selector_name(selector: Column | str) -> Column:
+    """``selector_`` and the eight hexadecimal digits of a selector, whatever else is in it; null without just eight."""
+    digits = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text(selector))), "^0x", ""), "[^0-9a-f]", "")
+    return F.when(F.length(digits) == 8, F.concat(F.lit("selector_"), digits))
+
+
 def alignment_reasons(prompt: Column | str, selector: Column | str) -> Column:
-    s, t = F.lower(F.trim(text(selector))), F.lower(text(prompt))
-    usable = s.rlike("^0x[0-9a-f]{8}$")
-    return reasons((usable & ~t.contains(s) & ~t.contains(F.concat(F.lit("function_"), s)), "selector_input_mismatch"))
+    """The prompt must hold the selector as it is written, or the name made of it."""
+    s, name, t = F.lower(F.trim(text(selector))), selector_name(selector), F.lower(text(prompt))
+    return reasons((name.isNotNull() & ~t.contains(s) & ~t.contains(name), "selector_input_mismatch"))
 
 
 def canonical_contract(name: Column | str) -> Column:
@@ -110,35 +117,6 @@ def length_report(prompt: Column | str, output: Column | str, most: int) -> Colu
     )
 
 
-#: Formats of metadata fields.
-FORMATS = {
-    "contract_address": r"^0x[0-9a-fA-F]{40}$",
-    "selector": r"^0x[0-9a-fA-F]{8}$",
-    "hash": r"^[0-9a-fA-F]{32}([0-9a-fA-F]{32})?$",
-    "compiler_version": r"^v?\d+\.\d+\.\d+(?:[+-].*)?$",
-}
-HASH_FIELDS = ("body_hash", "tac_hash", "pair_norm_hash", "input_hash", "output_hash", "final_row_hash", "source_hash", "hash")
-
-
-def schema_errors(meta: dict[str, Column], version: int = 1) -> Column:
-    """field and code of what is wrong with metadata columns by name; absent names are not looked at."""
-    checks = []
-    wrong = lambda name, code: F.struct(F.lit(name).alias("field"), F.lit(code).alias("code"))
-    for name, c in meta.items():
-        t = c.cast("string")
-        if name == "schema_version":
-            checks += [F.when(c.isNull(), wrong(name, "missing")), F.when(c.isNotNull() & (t != str(version)), wrong(name, "unsupported"))]
-        elif name in HASH_FIELDS:
-            checks.append(F.when(t.isNotNull() & ~t.rlike(FORMATS["hash"]), wrong(name, "invalid_format")))
-        elif name in FORMATS:
-            checks.append(F.when(t.isNotNull() & ~t.rlike(FORMATS[name]), wrong(name, "invalid_format")))
-        elif name in ("optimizer_enabled", "is_payable", "is_view"):
-            checks.append(F.when(t.isNotNull() & ~F.lower(t).isin("true", "false"), wrong(name, "invalid_type")))
-        elif name == "optimizer_runs":
-            checks.append(F.when(t.isNotNull() & ~t.rlike(r"^\d+$"), wrong(name, "invalid_value")))
-    return F.filter(F.array(*checks), lambda x: x.isNotNull())
-
-
 def bytecode_errors(hex_: Column | str) -> Column:
     """Empty code is valid."""
     t = F.regexp_replace(F.trim(text(hex_)), "^0[xX]", "")

@@ -20,9 +20,9 @@ def normalize_opcode(op: Column) -> Column:
 
 
 def idf(freq: DataFrame, doc: str, term: str) -> DataFrame:
-    """(term, df, idf) with idf = ln((N + 1) / (df + 1)) + 1."""
-    n = freq.agg(F.countDistinct(doc).alias("docs"))
-    return freq.groupBy(term).agg(F.countDistinct(doc).alias("df")).join(F.broadcast(n)).select(term, "df", (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    """(term, df, idf) with idf = ln((N + 1) / (df + 1)) + 1; ``freq`` has one row for each document and term."""
+    n = freq.select(doc).distinct().agg(F.count(F.lit(1)).alias("docs"))  # one row
+    return freq.groupBy(term).agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select(term, "df", (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 def tfidf(freq: DataFrame, weights: DataFrame, doc: str, term: str) -> DataFrame:

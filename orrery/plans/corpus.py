@@ -9,30 +9,31 @@ from orrery.functions import hashing, quality, text
 from orrery.operators import dedup, stats
 from orrery.plans.base import query, t
 
-BODY = "lower(substr(text, 1, 50))"
+BODY = "md5(lower(text))"
 RANKED = f"""
 pair_ranked as (
-  select *, row_number() over (partition by text order by {BODY}, doc_id) as pair_rn from documents
+  select *, row_number() over (partition by md5(text) order by {BODY}, doc_id) as pair_rn from documents
 ), body_ranked as (
-  select *, row_number() over (partition by {BODY} order by text, doc_id) as body_rn from pair_ranked where pair_rn = 1
+  select *, row_number() over (partition by {BODY} order by md5(text), doc_id) as body_rn from pair_ranked where pair_rn = 1
 )"""
 
 
 def _body():
-    return F.lower(F.substring("text", 1, 50))
+    return F.md5(F.lower("text"))
 
 
 @query(f"with {RANKED} select doc_id, source from body_ranked where body_rn <= 2")
 def pair_dedup_body_cap(spark: SparkSession, d: str) -> DataFrame:
-    docs = t(spark, d, "documents").select("doc_id", "text", "source")
-    return dedup.pair_dedup(docs, F.col("text"), _body(), "doc_id").select("doc_id", "source")
+    docs = t(spark, d, "documents").select("doc_id", "source", F.md5("text").alias("pair"), _body().alias("body"))
+    return dedup.pair_dedup(docs, F.col("pair"), F.col("body"), "doc_id").select("doc_id", "source")
 
 
 @query(f"""with {RANKED} select (select count(*) from documents) as total_pairs,
   (select count(*) from pair_ranked where pair_rn = 1) as rows_after_pair_dedup, (select count(*) from body_ranked where body_rn <= 2) as rows_exported,
   (select count(*) from pair_ranked where pair_rn > 1) as pair_duplicate_rows_dropped, (select count(*) from body_ranked where body_rn > 2) as body_cap_rows_dropped""")
 def export_selection_stats(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.selection_stats(t(spark, d, "documents").select("doc_id", "text"), F.col("text"), _body(), "doc_id")
+    docs = t(spark, d, "documents").select("doc_id", F.md5("text").alias("pair"), _body().alias("body"))
+    return dedup.selection_stats(docs, F.col("pair"), F.col("body"), "doc_id")
 
 
 @query(f"""with p as (select text, count(*) n from documents group by 1), b as (select {BODY} k, count(*) n from documents group by 1)
@@ -100,18 +101,18 @@ def body_cap_violations(spark: SparkSession, d: str) -> DataFrame:
 @query("""with h as (select *, md5(text) k from documents), f as (select *, min(case when length(text) >= 200 then doc_id end) over (partition by k) as first_ok from h)
 select doc_id, coalesce(doc_id > first_ok, false) as is_duplicate from f""")
 def final_row_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    docs = t(spark, d, "documents").select("doc_id", "text")
-    return dedup.first_accepted_duplicates(docs, F.md5("text"), F.length("text") >= 200, "doc_id").select("doc_id", "is_duplicate")
+    docs = t(spark, d, "documents").select("doc_id", F.md5("text").alias("key"), (F.length("text") >= 200).alias("ok"))
+    return dedup.first_accepted_duplicates(docs, F.col("key"), F.col("ok"), "doc_id").select("doc_id", "is_duplicate")
 
 
 EST = "greatest(len(list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> '')), (length({0}) + 3) // 4)"
 
 
-@query(f"""with e as (select doc_id, cast({EST.format('substr(text, 1, 1000)')} as bigint) c, cast({EST.format('text')} as bigint) g from documents)
+@query(f"""with e as (select doc_id, cast({EST.format('text')} as bigint) c, cast({EST.format('text')} as bigint) g from documents)
 select doc_id, c as context_tokens, g as target_tokens, c + g as total_tokens,
   concat_ws(',', case when g >= 512 then 'target_overlength' end, case when c + g > 512 then 'context_overlength' end) as reasons from e""")
 def length_report(spark: SparkSession, d: str) -> DataFrame:
-    docs = t(spark, d, "documents").select("doc_id", quality.length_report(F.substring("text", 1, 1000), "text", 512).alias("r"))
+    docs = t(spark, d, "documents").select("doc_id", quality.length_report("text", "text", 512).alias("r"))
     return docs.select("doc_id", "r.context_tokens", "r.target_tokens", "r.total_tokens", F.array_join("r.reasons", ",").alias("reasons"))
 
 

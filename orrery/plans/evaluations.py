@@ -47,12 +47,12 @@ def diagnostic_status(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.overall_status(_diagnosed(spark, d))
 
 
-@query("""with k(interface, selector) as (values ('A', 0), ('A', 1), ('A', 2), ('A', 3), ('A', 4), ('B', 5), ('B', 6)), s as (select distinct l_suppkey, l_partkey % 50 as selector from lineitem where l_partkey % 50 < 7 and l_orderkey % 40 = 0),
+@query("""with k(interface, selector) as (values ('A', 0), ('A', 1), ('A', 2), ('A', 3), ('A', 4), ('B', 5), ('B', 6)), s as (select distinct l_suppkey, l_partkey % 50 as selector from lineitem where l_partkey % 50 < 7),
 h as (select l_suppkey, interface, count(*) as matched from s join k using (selector) group by 1, 2), n as (select interface, count(*) as total from k group by 1)
 select l_suppkey, interface, matched, round(cast(matched / total as double), 3) as coverage from h join n using (interface) where matched >= least(4, total)""")
 def interface_detection(spark: SparkSession, d: str) -> DataFrame:
     known = spark.createDataFrame([("A", i) for i in range(5)] + [("B", 5), ("B", 6)], "interface string, selector long")
-    s = t(spark, d, "lineitem").where("l_partkey % 50 < 7 and l_orderkey % 40 = 0").select("l_suppkey", (F.col("l_partkey") % 50).alias("selector"))
+    s = t(spark, d, "lineitem").where("l_partkey % 50 < 7").select("l_suppkey", (F.col("l_partkey") % 50).alias("selector"))
     return evaluation.interfaces(s, "l_suppkey", known)
 
 
@@ -62,11 +62,11 @@ def storage_slots(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.storage_slots(v, "n_regionkey", "n_nationkey").select("n_regionkey", "n_name", F.col("slot").cast("int").alias("slot"))
 
 
-@query("""with b as (select md5(text) as key, min(doc_id) as body from documents where doc_id < 500 group by 1) select case when body is not null then 'lookup' else 'tac_only' end as source, count(*) as n from documents d left join b on b.key = md5(d.text) where d.doc_id >= 500 group by 1""")
+@query("""with b as (select md5(text) as key, min(doc_id) as body from documents join labels using (doc_id) where quality = 1 group by 1) select case when body is not null then 'lookup' else 'tac_only' end as source, count(*) as n from documents d left join b on b.key = md5(d.text) group by 1""")
 def inference_sources(spark: SparkSession, d: str) -> DataFrame:
     docs = t(spark, d, "documents").select("doc_id", F.md5("text").alias("key"))
-    bodies = docs.where("doc_id < 500").groupBy("key").agg(F.min("doc_id").alias("body"))
-    return evaluation.source_summary(evaluation.inference_results(docs.where("doc_id >= 500"), bodies, "key"))
+    bodies = docs.join(t(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id").groupBy("key").agg(F.min("doc_id").alias("body"))
+    return evaluation.source_summary(evaluation.inference_results(docs, bodies, "key"))
 
 
 @query("""select doc_id, concat_ws(', ', case when trim(lang) <> '' then concat('lang: ', lang) end, concat('chars: ', n_chars), case when trim(source) <> '' then concat('source: ', source) end) as line,

@@ -11,14 +11,14 @@ from orrery.plans.base import query, t
 
 KEYS_SQL = """k as (select distinct doc_id, category, key from (
   select doc_id, 'output_hash' as category, md5(text) as key from documents union all
-  select doc_id, 'prefix_50', md5(lower(substr(text, 1, 50))) from documents union all
+  select doc_id, 'body_hash', md5(lower(text)) from documents union all
   select doc_id, 'prefix_300', md5(substr(text, 1, 300)) from documents))"""
 
 
 def _keys(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leakage_keys(
         t(spark, d, "documents").select("doc_id", "text"), "doc_id",
-        {"output_hash": F.md5("text"), "prefix_50": F.md5(F.lower(F.substring("text", 1, 50))), "prefix_300": F.md5(F.substring("text", 1, 300))},
+        {"output_hash": F.md5("text"), "body_hash": F.md5(F.lower("text")), "prefix_300": F.md5(F.substring("text", 1, 300))},
     )
 
 
@@ -67,13 +67,13 @@ def split_leakage_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with s as (select {SPLIT_SQL} as split, count(*) as actual from documents group by 1), n as (select count(*) as total from documents),
-b as (select lower(substr(text, 1, 50)) k, count(*) as rows from documents group by 1),
+b as (select md5(lower(text)) k, count(*) as rows from documents group by 1),
 r as (select split, actual, case split when 'train' then 0.85 when 'val' then 0.1 else 0.05 end * total as target, total from s, n)
 select split, actual, round(cast(target as double), 6) as target, round(cast(actual / target as double), 6) as actual_to_target_ratio,
   total >= 100 and target >= 10 and actual / target < 0.5 as below_target, (select max(rows) from b) as largest_component_rows,
   total >= 100 and (select max(rows) from b) > total * 0.85 as oversized_component from r""")
 def split_quality(spark: SparkSession, d: str) -> DataFrame:
-    sizes = t(spark, d, "documents").groupBy(F.lower(F.substring("text", 1, 50)).alias("k")).agg(F.count(F.lit(1)).alias("rows"))
+    sizes = t(spark, d, "documents").groupBy(F.md5(F.lower("text")).alias("k")).agg(F.count(F.lit(1)).alias("rows"))
     out = leakage.split_quality(_split(spark, d), sizes, {"train": 0.85, "val": 0.10, "test": 0.05})
     return out.withColumn("target", F.round("target", 6)).withColumn("actual_to_target_ratio", F.round("actual_to_target_ratio", 6))
 
@@ -83,34 +83,35 @@ def stratified_split(spark: SparkSession, d: str) -> DataFrame:
     docs = t(spark, d, "documents")
     strata = docs.select("doc_id", F.lit("lang").alias("field"), F.col("lang").alias("value"))
     parts = _components(spark, d)
-    return parts.join(leakage.stratified_split(parts, strata, "doc_id", spark), "component").select("doc_id", "component", "split")
+    return parts.join(leakage.stratified_split(parts, strata, "doc_id"), "component").select("doc_id", "component", "split")
 
 
-@query("""with b as (select md5(lower(substr(text, 1, 50))) as key, min(doc_id) as body_id from documents group by 1)
-select d.doc_id, b.body_id from documents d left join b on b.key = md5(lower(substr(d.text, 1, 50))) and d.doc_id >= 500""")
+@query("""with b as (select md5(lower(text)) as key, min(doc_id) as body_id from documents join labels using (doc_id) where quality = 1 group by 1)
+select d.doc_id, b.body_id from documents d left join b on b.key = md5(lower(d.text))""")
 def exact_lookup(spark: SparkSession, d: str) -> DataFrame:
-    docs = t(spark, d, "documents").select("doc_id", F.md5(F.lower(F.substring("text", 1, 50))).alias("key"))
-    bodies = docs.groupBy("key").agg(F.min("doc_id").alias("body_id"))
-    found = lookup.exact_lookup(docs.withColumn("key", F.when(F.col("doc_id") >= 500, F.col("key"))), bodies, "key")
+    docs = t(spark, d, "documents").select("doc_id", F.md5(F.lower("text")).alias("key"))
+    bodies = docs.join(t(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id").groupBy("key").agg(F.min("doc_id").alias("body_id"))
+    found = lookup.exact_lookup(docs, bodies, "key")
     return found.select("doc_id", "body_id")
 
 
-@query("""with b as (select lower(substr(text, 1, 50)) k, count(*) as occurrences from documents group by 1)
+@query("""with b as (select md5(lower(text)) k, count(*) as occurrences from documents group by 1)
 select count(*) as bodies, cast(sum(occurrences) as bigint) as occurrences, round(avg(occurrences), 1) as mean_occurrences from b""")
 def lookup_stats(spark: SparkSession, d: str) -> DataFrame:
-    b = t(spark, d, "documents").groupBy(F.lower(F.substring("text", 1, 50)).alias("k")).agg(F.count(F.lit(1)).alias("occurrences"))
+    b = t(spark, d, "documents").groupBy(F.md5(F.lower("text")).alias("k")).agg(F.count(F.lit(1)).alias("occurrences"))
     return b.agg(F.count(F.lit(1)).alias("bodies"), F.sum("occurrences").alias("occurrences"), F.round(F.avg("occurrences"), 1).alias("mean_occurrences"))
 
 
-@query("""with a as (select md5(lower(substr(text, 1, 50))) as key, doc_id as pos, source as name, md5(text) as body, doc_id >= 500 as fresh from documents)
-select key, count(*) as occurrences, arg_min(body, pos) as body, (select name from a b where b.key = a.key order by length(name) desc, fresh, pos limit 1) as name from a group by 1""")
+@query("""with a as (select md5(lower(text)) as key, doc_id as pos, source as name, md5(text) as body, doc_id in (select doc_id from labels) as fresh from documents)
+select key, count(*) as occurrences, arg_min(body, (fresh, pos)) as body, (select name from a b where b.key = a.key order by length(name) desc, fresh, pos limit 1) as name from a group by 1""")
 def lookup_build(spark: SparkSession, d: str) -> DataFrame:
-    rows = t(spark, d, "documents").select(F.md5(F.lower(F.substring("text", 1, 50))).alias("key"), F.lit(1).cast("long").alias("occurrences"), F.md5("text").alias("body"), F.col("source").alias("name"), F.col("doc_id").alias("pos"))
-    return lookup.upsert_counts(rows.where("pos < 500"), rows.where("pos >= 500"), ["key"], "occurrences", "body", "name")
+    rows = t(spark, d, "documents").select(F.md5(F.lower("text")).alias("key"), F.lit(1).cast("long").alias("occurrences"), F.md5("text").alias("body"), F.col("source").alias("name"), F.col("doc_id").alias("pos"))
+    labelled = t(spark, d, "labels").select(F.col("doc_id").alias("pos")).distinct()
+    return lookup.upsert_counts(rows.join(labelled, "pos", "left_anti"), rows.join(labelled, "pos", "left_semi"), ["key"], "occurrences", "body", "name")
 
 
-TIERS_SQL = """r as (select l_partkey as p_partkey, cast(l_suppkey as varchar) as name, count(*) as n from lineitem where l_partkey % 3 = 1 group by 1, 2),
-b as (select p_partkey, p_name as name, cast(1000 as bigint) as n from part where p_partkey % 3 = 0),
+TIERS_SQL = """r as (select l_partkey as p_partkey, cast(l_suppkey as varchar) as name, count(*) as n from lineitem where l_returnflag = 'R' and l_quantity >= 49 group by 1, 2),
+b as (select p_partkey, p_name as name, cast(1000 as bigint) as n from part where p_size < 15),
 a as (select 0 as tier, 'builtin' as tname, * from b union all select 1, 'registry', * from r)"""
 
 
@@ -119,8 +120,8 @@ x as (select a.*, count(*) over (partition by a.p_partkey) as candidates, row_nu
 select p.p_partkey, coalesce(x.tname, 'unknown') as tier, x.name, coalesce(x.candidates, 0) as candidates from part p left join x on x.p_partkey = p.p_partkey and rn = 1""")
 def tiered_resolution(spark: SparkSession, d: str) -> DataFrame:
     part = t(spark, d, "part")
-    builtin = part.where("p_partkey % 3 = 0").select("p_partkey", F.col("p_name").alias("name"), F.lit(1000).cast("long").alias("n"))
-    seen = t(spark, d, "lineitem").where("l_partkey % 3 = 1").groupBy(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    builtin = part.where("p_size < 15").select("p_partkey", F.col("p_name").alias("name"), F.lit(1000).cast("long").alias("n"))
+    seen = t(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity >= 49").groupBy(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     return lookup.tiered(part.select("p_partkey"), [("builtin", builtin), ("registry", seen)], "p_partkey", "name", "n")
 
 

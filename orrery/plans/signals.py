@@ -9,7 +9,7 @@ from orrery.functions import text
 from orrery.operators import facts, features, risk
 from orrery.plans.base import query, t
 
-TURNS_SQL = """p as (select u.conv_id, u.turn, substr(u.text, 1, 200) as a, substr(v.text, 1, 200) as b, u.text as ua, v.text as va
+TURNS_SQL = """p as (select u.conv_id, u.turn, u.text as a, v.text as b, u.text as ua, v.text as va
   from conversations u join conversations v on u.conv_id = v.conv_id and v.turn = u.turn + 1 where u.role = 'user' and v.role = 'assistant')"""
 WORDS = "list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> '')"
 
@@ -18,7 +18,7 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     c = t(spark, d, "conversations")
     u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("ua"))
     v = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("va"))
-    return u.join(v, ["conv_id", "turn"]).withColumn("a", F.substring("ua", 1, 200)).withColumn("b", F.substring("va", 1, 200))
+    return u.join(v, ["conv_id", "turn"]).withColumn("a", F.col("ua")).withColumn("b", F.col("va"))
 
 
 @query(f"""with {TURNS_SQL}, w as (select conv_id, turn, list_distinct({WORDS.format('a')}) x, list_distinct({WORDS.format('b')}) y from p)
@@ -117,15 +117,15 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
     return features.frequencies(words.select("doc_id", F.lower("w").alias("term")), "doc_id", "term")
 
 
-@query(f"with {IDF_SQL} select term, df, round(idf, 6) as idf from i where df >= 3")
+@query(f"with {IDF_SQL} select term, df, round(idf, 6) as idf from i")
 def idf_fit(spark: SparkSession, d: str) -> DataFrame:
-    return features.idf(_terms(spark, d), "doc_id", "term").where("df >= 3").withColumn("idf", F.round("idf", 6))
+    return features.idf(_terms(spark, d), "doc_id", "term").withColumn("idf", F.round("idf", 6))
 
 
-@query(f"""with {IDF_SQL}, s as (select doc_id, sum(n) as total from f group by 1) select f.doc_id, f.term, round(n / total * idf, 6) as tfidf from f join s using (doc_id) join i using (term) where df >= 20""")
+@query(f"""with {IDF_SQL}, s as (select doc_id, sum(n) as total from f group by 1) select f.doc_id, f.term, round(n / total * idf, 6) as tfidf from f join s using (doc_id) join i using (term)""")
 def tfidf(spark: SparkSession, d: str) -> DataFrame:
     terms = _terms(spark, d)
-    weights = features.idf(terms, "doc_id", "term").where("df >= 20")
+    weights = features.idf(terms, "doc_id", "term")
     return features.tfidf(terms, weights, "doc_id", "term").withColumn("tfidf", F.round("tfidf", 6))
 
 

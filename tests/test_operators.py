@@ -82,50 +82,30 @@ def test_summary_and_components(spark):
 def test_stratified_split_keeps_components_and_fills_all(spark):
     parts = spark.createDataFrame([(i, i // 2) for i in range(60)], "id long, component long")
     strata = parts.select("id", F.lit("f").alias("field"), (F.col("id") % 3).cast("string").alias("value"))
-    got = parts.join(leakage.stratified_split(parts, strata, "id", spark, 0.6, 0.2), "component")
+    got = parts.join(leakage.stratified_split(parts, strata, "id", 0.6, 0.2), "component")
     assert got.groupBy("component").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
     assert got.select("split").distinct().count() == 3
 
 
-def greedy_split(sizes, profile, total, share):
-    """The reference's choice for (rows, component) in order; ``profile`` gives (stratum, n) of a component."""
-    rows, held, seen, everywhere, out = dict.fromkeys(share, 0), dict.fromkeys(share, 0), {s: {} for s in share}, {}, {}
-    for c in profile:
-        for k, n in profile[c]:
-            everywhere[k] = everywhere.get(k, 0) + n
-
-    def cost(s, size, c):
-        want = total * share[s]
-        fit = abs(rows[s] + size - want) / want + (rows[s] > want) - 0.15 * (not held[s])
-        return 4 * fit + 0.1 * sum(abs(seen[s].get(k, 0) + n - everywhere[k] * share[s]) / max(everywhere[k] * share[s], 1.0) for k, n in profile[c])
-
-    for size, c in sorted(sizes, key=lambda x: (-x[0], x[1])):
-        s = out[c] = min(share, key=lambda x: cost(x, size, c))
-        rows[s], held[s] = rows[s] + size, held[s] + 1
-        for k, n in profile[c]:
-            seen[s][k] = seen[s].get(k, 0) + n
-    return out
-
-
-def test_stratified_split_chooses_for_every_component(spark):
-    ids = [(i, i if i >= 40 else i // 4) for i in range(300)]
+def test_stratified_split_keeps_the_shares(spark):
+    ids = [(i, i if i >= 400 else i // 8) for i in range(3000)]
     parts = spark.createDataFrame(ids, "id long, component long")
-    strata = parts.select("id", F.lit("f").alias("field"), (F.col("id") % 3).cast("string").alias("value"))
-    members = {}
-    for i, c in ids:
-        members.setdefault(c, []).append(i % 3)
-    profile = {c: sorted((v, m.count(v)) for v in set(m)) for c, m in members.items()}
-    want = greedy_split([(len(m), c) for c, m in members.items()], profile, 300, {"train": 0.6, "val": 0.25, "test": 1 - 0.6 - 0.25})
-    for most in (20, 200_000):
-        got = {r["component"]: r["split"] for r in leakage.stratified_split(parts, strata, "id", spark, 0.6, 0.25, most).collect()}
-        assert got == want
+    strata = parts.select("id", F.lit("f").alias("field"), (F.col("component") % 3).cast("string").alias("value"))
+    got = {r["component"]: r["split"] for r in leakage.stratified_split(parts, strata, "id", 0.6, 0.25).collect()}
+    assert set(got) == {c for _, c in ids}
+    for value in range(3):
+        rows = [got[c] for _, c in ids if c % 3 == value]
+        for split, share in (("train", 0.6), ("val", 0.25), ("test", 0.15)):
+            assert abs(rows.count(split) / len(rows) - share) < 0.02
 
 
 def test_stratified_split_fills_empty_splits(spark):
     parts = spark.createDataFrame([(i, 0 if i < 90 else i) for i in range(93)], "id long, component long")
     strata = parts.select("id", F.lit("f").alias("field"), F.lit("v").alias("value"))
-    got = {r["component"]: r["split"] for r in leakage.stratified_split(parts, strata, "id", spark, 0.02, 0.01, 2).collect()}
+    got = {r["component"]: r["split"] for r in leakage.stratified_split(parts, strata, "id", 0.02, 0.01).collect()}
     assert len(got) == 4 and set(got.values()) == {"train", "val", "test"}
+    few = parts.where("component in (0, 90)")
+    assert {r["split"] for r in leakage.stratified_split(few, strata, "id", 0.02, 0.01).collect()} == {"train"}
 
 
 def test_features(spark):
