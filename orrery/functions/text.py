@@ -14,6 +14,11 @@ def text(c: Column | str) -> Column:
     return F.coalesce(col(c).cast("string"), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is written and computed once, however often ``body`` refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def collapse_whitespace(c: Column | str) -> Column:
     """Runs of white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(text(c), r"(?U)\s+", " "))

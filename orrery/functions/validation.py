@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from orrery.functions import quality
-from orrery.functions.text import instruction_lines, line_count, text, token_estimate
+from orrery.functions.text import instruction_lines, let, line_count, text, token_estimate
 
 VERSION = 1
 ERROR = "array<struct<field:string,code:string,message:string>>"
@@ -46,11 +46,11 @@ def part(row: Column, path: str) -> Column:
 
 def kind(v: Column) -> Column:
     """object, array, string, integer, number, boolean, null; SQL null if absent."""
-    t = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull(), F.lit(None).cast("string")).when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").when(t == "STRING", "string")
+    name = lambda t: (
+        F.when(t.isNull(), F.lit(None).cast("string")).when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").when(t == "STRING", "string")
         .when(t == "VOID", "null").when(t == "BOOLEAN", "boolean").when(t.rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$"), "integer").otherwise("number")
     )
+    return let(F.schema_of_variant(v), name)
 
 
 def _string(v: Column) -> Column:
@@ -88,6 +88,10 @@ def _shown(v: Column) -> Column:
 
 def metadata_errors(meta: Column, allow_legacy: bool = False) -> Column:
     """What is wrong with a metadata variant, in the order of the fields; null counts as no object."""
+    return let(meta, lambda m: _metadata_errors(m, allow_legacy))
+
+
+def _metadata_errors(meta: Column, allow_legacy: bool) -> Column:
     named = lambda name, code: _error(_filled(part(meta, f"$.{name}")), f"metadata.{name}", code, f"{name}{MESSAGES[code]}")
     version, runs = part(meta, "$.schema_version"), part(meta, "$.optimizer_runs")
     there = version.isNotNull() & (kind(version) != "null")
@@ -118,6 +122,10 @@ def _empty_object() -> Column:
 
 def row_errors(row: Column, allow_legacy: bool = False) -> Column:
     """What is wrong with a row variant: its strings, then its metadata, which may be absent but not null."""
+    return let(row, lambda r: _row_errors(r, allow_legacy))
+
+
+def _row_errors(row: Column, allow_legacy: bool) -> Column:
     strings = [
         _error(~F.coalesce((kind(part(row, f"$.{f}")) == "string") & _string(part(row, f"$.{f}")).rlike(r"(?U)\S"), F.lit(False)), f, f"{f}_required_string", f"{f}{MESSAGES['required_string']}")
         for f in ("input", "output")
@@ -129,23 +137,38 @@ def row_errors(row: Column, allow_legacy: bool = False) -> Column:
 
 def reject_reasons(row: Column, validate_schema: bool = True, allow_legacy: bool = False) -> Column:
     """Why a row is rejected: by its input's analysis, by what the input quotes, by its output, by the selector, by its schema."""
-    source, target = text(_string(part(row, "$.input"))), text(_string(part(row, "$.output")))
+    errors = F.size(row_errors(row, allow_legacy)) > 0 if validate_schema else F.lit(False)
+    return let(_facets(row, errors), _reasons)
+
+
+def _facets(row: Column, errors: Column) -> Column:
     meta = part(row, "$.metadata")  # an object, or one written as a string
-    meta = F.when(kind(meta) == "string", F.try_parse_json(_string(meta))).otherwise(meta)
-    parts = [quality.tac_reasons(source), quality.leakage_reasons(source), quality.completion_reasons(target), quality.alignment_reasons(source, _string(_selector(meta)))]
-    if validate_schema:
-        parts.append(quality.reasons((F.size(row_errors(row, allow_legacy)) > 0, "metadata_schema_invalid")))
-    return F.concat(*parts)
+    selector = let(meta, lambda m: _string(_selector(F.when(kind(m) == "string", F.try_parse_json(_string(m))).otherwise(m))))
+    one = lambda path: text(_string(part(row, path)))
+    return F.struct(one("$.input").alias("source"), one("$.output").alias("target"), selector.alias("selector"), errors.alias("wrong"))
+
+
+def _reasons(x: Column) -> Column:
+    source = x["source"]
+    return F.concat(
+        quality.tac_reasons(source), quality.leakage_reasons(source), quality.completion_reasons(x["target"]), quality.alignment_reasons(source, x["selector"]),
+        quality.reasons((x["wrong"], "metadata_schema_invalid")),
+    )
 
 
 def report(raw: Column | str, validate_schema: bool = True, allow_legacy: bool = False) -> Column:
     """status, reasons, sizes and schema errors of a row of JSON text."""
-    row = parsed(raw)
-    source, target = text(_string(part(row, "$.input"))), text(_string(part(row, "$.output")))
-    why = reject_reasons(row, validate_schema, allow_legacy)
-    return F.struct(
-        F.when(F.size(why) > 0, "failed").otherwise("passed").alias("status"), why.alias("reasons"),
-        F.length(source).cast("long").alias("input_chars"), F.length(target).cast("long").alias("output_chars"), line_count(source).alias("input_lines"), line_count(target).alias("output_lines"),
-        token_estimate(source).alias("input_token_estimate"), token_estimate(target).alias("output_token_estimate"), instruction_lines(source).alias("tac_instruction_lines"),
-        row_errors(row, allow_legacy).alias("schema_errors"),
-    )
+    def written(row: Column) -> Column:
+        errors = row_errors(row, allow_legacy)
+        return let(F.struct(_facets(row, F.size(errors) > 0 if validate_schema else F.lit(False)).alias("x"), errors.alias("errors")), told)
+
+    def told(y: Column) -> Column:
+        source, target = y["x"]["source"], y["x"]["target"]
+        return let(_reasons(y["x"]), lambda why: F.struct(
+            F.when(F.size(why) > 0, "failed").otherwise("passed").alias("status"), why.alias("reasons"),
+            F.length(source).cast("long").alias("input_chars"), F.length(target).cast("long").alias("output_chars"), line_count(source).alias("input_lines"), line_count(target).alias("output_lines"),
+            token_estimate(source).alias("input_token_estimate"), token_estimate(target).alias("output_token_estimate"), instruction_lines(source).alias("tac_instruction_lines"),
+            y["errors"].alias("schema_errors"),
+        ))
+
+    return let(parsed(raw), written)

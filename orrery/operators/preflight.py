@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import validation
-from orrery.functions.text import word_count
+from orrery.functions.text import let, word_count
 
 # Messages of the errors that the schema doesn't know.
 SAID = {"json_parse_error": "Invalid JSON", "row_type_error": "Each JSONL row must be an object.", "metadata_type_error": "Field 'metadata' must be an object when present."}
@@ -32,36 +32,52 @@ def checked(lines: DataFrame, most: int, allow_legacy: bool = False, tokens: Cal
 
     A row with errors has no lengths. ``tokens`` counts the tokens of a column of texts.
     """
-    raw = F.trim("value")
-    row = lines.withColumn("_row", validation.parsed(raw)).withColumn("_blank", ~F.coalesce(F.col("value"), F.lit("")).rlike(r"(?U)\S"))
-    v, fault = F.col("_row"), lambda when, code, said: F.when(when, F.struct(F.lit(code).alias("code"), F.lit(said).alias("message")))
-    strings = []
-    for f in ("input", "output"):
-        p = validation.part(v, f"$.{f}")
-        s = F.try_variant_get(p, "$", "string")
-        k = validation.kind(p)
-        strings += [
-            fault(p.isNull(), f"missing_{f}", f"Missing required field: {f}"), fault(p.isNotNull() & (k != "string"), f"{f}_type_error", f"Field '{f}' must be a string."),
-            fault((k == "string") & ~s.rlike(r"(?U)\S"), f"empty_{f}", f"Field '{f}' must not be empty."),
+    blank = ~F.coalesce(F.col("value"), F.lit("")).rlike(r"(?U)\S")
+    found = let(validation.parsed(F.trim("value")), lambda v: F.struct(_errors(v, allow_legacy).alias("errors"), _length(v, "input", tokens).alias("context"), _length(v, "output", tokens).alias("target")))
+
+    def judged(x: Column) -> Column:
+        valid = F.size(x["errors"]) == 0
+        return F.struct(x["errors"].alias("errors"), valid.alias("valid"), F.when(valid, x["context"]).alias("context"), F.when(valid, x["target"]).alias("target"))
+
+    def lengths(x: Column) -> Column:
+        target, total = x["target"], x["context"] + x["target"]
+        over = [
+            F.when(target >= most, F.struct(F.lit("target_overlength").alias("code"), F.format_string("Target token length %d is >= max_seq_length %d.", target, F.lit(most)).alias("message"))),
+            F.when((total > most) & F.lit(strict_context), F.struct(F.lit("context_overlength").alias("code"), F.format_string("Prompt token length %d exceeds max_seq_length %d.", total, F.lit(most)).alias("message"))),
         ]
-    meta = validation.part(v, "$.metadata")
-    none = F.parse_json(F.lit("{}"))
-    given = F.when(meta.isNull() | (validation.kind(meta) == "null"), none).otherwise(meta)
-    deep = F.transform(validation.metadata_errors(given, allow_legacy), lambda e: F.struct(e["code"].alias("code"), F.concat_ws(": ", e["field"], e["message"]).alias("message")))
-    deep = F.when(validation.kind(given) == "object", deep).otherwise(F.array(F.struct(F.lit("metadata_type_error").alias("code"), F.lit(SAID["metadata_type_error"]).alias("message"))))
-    shallow = F.filter(F.array(*strings), lambda e: e.isNotNull())
+        return F.struct(F.concat(x["errors"], F.filter(F.array(*over), lambda e: e.isNotNull())).alias("errors"), x["valid"].alias("valid"), x["context"].alias("context"), target.alias("target"))
+
+    row = lines.select(*keep, "line", blank.alias("blank"), F.when(~blank, let(let(found, judged), lengths)).alias("x"))
+    none = F.array().cast("array<struct<code:string,message:string>>")
+    return row.select(*keep, "line", "blank", F.coalesce("x.errors", none).alias("errors"), F.coalesce("x.valid", F.lit(False)).alias("valid"), "x.context", "x.target")
+
+
+def _length(v: Column, field: str, tokens: Callable[[Column], Column]) -> Column:
+    return tokens(F.try_variant_get(v, f"$.{field}", "string")).cast("long")
+
+
+def _errors(v: Column, allow_legacy: bool) -> Column:
+    fault = lambda when, code, said: F.when(when, F.struct(F.lit(code).alias("code"), F.lit(said).alias("message")))
     one = lambda code: F.array(F.struct(F.lit(code).alias("code"), F.lit(SAID[code]).alias("message")))
-    errors = F.when(F.col("_blank"), F.filter(one("row_type_error"), lambda e: F.lit(False))).when(v.isNull(), one("json_parse_error")).when(validation.kind(v) != "object", one("row_type_error")).otherwise(F.concat(shallow, deep))
-    row = row.withColumn("_errors", errors).withColumn("_valid", ~F.col("_blank") & (F.size("_errors") == 0))
-    length = lambda f: F.when(F.col("_valid"), tokens(F.try_variant_get(v, f"$.{f}", "string")).cast("long"))
-    row = row.withColumn("_context", length("input")).withColumn("_target", length("output"))
-    total = F.col("_context") + F.col("_target")
-    long_ = [
-        F.when(F.col("_target") >= most, F.struct(F.lit("target_overlength").alias("code"), F.format_string("Target token length %d is >= max_seq_length %d.", "_target", F.lit(most)).alias("message"))),
-        F.when((total > most) & F.lit(strict_context), F.struct(F.lit("context_overlength").alias("code"), F.format_string("Prompt token length %d exceeds max_seq_length %d.", total, F.lit(most)).alias("message"))),
-    ]
-    row = row.withColumn("_errors", F.concat("_errors", F.filter(F.array(*long_), lambda e: e.isNotNull())))
-    return row.select(*keep, "line", F.col("_blank").alias("blank"), F.col("_errors").alias("errors"), F.col("_valid").alias("valid"), F.col("_context").alias("context"), F.col("_target").alias("target"))
+
+    def string(f: str) -> Column:
+        def said(p: Column) -> Column:
+            k = validation.kind(p)
+            faults = F.array(
+                fault(p.isNull(), f"missing_{f}", f"Missing required field: {f}"), fault(p.isNotNull() & (k != "string"), f"{f}_type_error", f"Field '{f}' must be a string."),
+                fault((k == "string") & ~F.try_variant_get(p, "$", "string").rlike(r"(?U)\S"), f"empty_{f}", f"Field '{f}' must not be empty."),
+            )
+            return F.filter(faults, lambda e: e.isNotNull())
+
+        return let(validation.part(v, f"$.{f}"), said)
+
+    def deep(given: Column) -> Column:
+        errors = F.transform(validation.metadata_errors(given, allow_legacy), lambda e: F.struct(e["code"].alias("code"), F.concat_ws(": ", e["field"], e["message"]).alias("message")))
+        return F.when(validation.kind(given) == "object", errors).otherwise(one("metadata_type_error"))
+
+    meta = let(validation.part(v, "$.metadata"), lambda m: F.when(m.isNull() | (validation.kind(m) == "null"), F.parse_json(F.lit("{}"))).otherwise(m))
+    all_ = F.concat(string("input"), string("output"), let(meta, deep))
+    return F.when(v.isNull(), one("json_parse_error")).when(validation.kind(v) != "object", one("row_type_error")).otherwise(all_)
 
 
 def error_counts(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
