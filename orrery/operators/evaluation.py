@@ -9,14 +9,6 @@ from pyspark.sql import functions as F
 RANK = {"high": 3, "medium": 2, "low": 1, "info": 0}
 
 
-def semantic_score(reference: Column, candidate: Column, mismatches: Column, signature_ok: Column, deployable: Column) -> Column:
-    """Jaccard of facts, at most 0.5 without the signature and 0.25 if not deployable, less 0.1 for each kind of mismatch down to 0.1."""
-    union = F.size(F.array_union(reference, candidate))
-    base = F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(reference, candidate)) / F.greatest(union, F.lit(1)))
-    capped = F.least(base, F.when(deployable, F.when(signature_ok, 1.0).otherwise(0.5)).otherwise(0.25))
-    return F.when(mismatches > 0, F.greatest(capped - 0.1 * mismatches, F.least(capped, F.lit(0.1)))).otherwise(capped)
-
-
 def completed(df: DataFrame, numbers: list[str], flags: list[str], success: Column, distance: str = "normalized_edit_distance") -> DataFrame:
     """Missing metrics as 0, flags as false, and the distance as 1 for failed rows only."""
     out = df
@@ -53,7 +45,7 @@ def diagnostics(metrics: DataFrame, rules: DataFrame) -> DataFrame:
 
 def overall_status(issues: DataFrame) -> DataFrame:
     top = F.max(F.when(F.col("severity") == "high", 2).when(F.col("severity") == "medium", 1).otherwise(0))
-    return issues.agg(F.when(top == 2, "needs_work").when(top == 1, "watch").otherwise("healthy").alias("status"))
+    return issues.agg(F.when(top == 2, "needs_attention").when(top == 1, "watch").otherwise("healthy").alias("status"))
 
 
 def next_steps(issues: DataFrame, limit: int = 8) -> DataFrame:
@@ -86,13 +78,13 @@ def sample(df: DataFrame, id_: str, n: int, seed: int) -> DataFrame:
 
 
 def interfaces(selectors: DataFrame, id_: str, known: DataFrame) -> DataFrame:
-    """(id, interface, matched, coverage) where at least four, or all, of an interface's selectors occur.
+    """(id, interface, matched, coverage) where at least four, or all, of an interface's selectors occur; of Ownable's, two.
 
     ``known`` (interface, selector) is a small table of constants.
     """
     sizes = known.groupBy("interface").agg(F.countDistinct("selector").alias("total"))
     hits = selectors.select(id_, "selector").distinct().join(F.broadcast(known), "selector").groupBy(id_, "interface").agg(F.count(F.lit(1)).alias("matched"))
-    both = hits.join(F.broadcast(sizes), "interface").where(F.col("matched") >= F.least(F.lit(4), F.col("total")))
+    both = hits.join(F.broadcast(sizes), "interface").where(F.col("matched") >= F.when(F.col("interface") == "Ownable", 2).otherwise(F.least(F.lit(4), F.col("total"))))
     return both.select(id_, "interface", "matched", F.bround(F.col("matched") / F.col("total"), 3).alias("coverage"))
 
 

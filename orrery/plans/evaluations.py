@@ -42,7 +42,7 @@ def diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return _diagnosed(spark, d).withColumn("value", F.round("value", 6))
 
 
-@query(f"with {DIAGNOSED_SQL} select case when bool_or(severity = 'high') then 'needs_work' when bool_or(severity = 'medium') then 'watch' else 'healthy' end as status from i where severity is not null")
+@query(f"with {DIAGNOSED_SQL} select case when bool_or(severity = 'high') then 'needs_attention' when bool_or(severity = 'medium') then 'watch' else 'healthy' end as status from i where severity is not null")
 def diagnostic_status(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.overall_status(_diagnosed(spark, d))
 
