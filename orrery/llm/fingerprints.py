@@ -82,11 +82,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(all_ == 0, F.lit(1.0)).otherwise(both / F.greatest(all_, F.lit(1)))
 
 
-def with_next(docs: DataFrame, columns: list[str], bucket: int = BUCKET) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], bucket: int = BUCKET, derive=lambda df: df) -> DataFrame:
     """``docs`` with ``next_<column>`` of the row that follows by ascending doc_id; after the last: of the first.
 
     Rows are dealt into ranges of doc_id. Each range gets a copy of the first row of the next one, so the texts are
-    shuffled once and no window spans all rows. Rows of equal doc_id follow each other by text; a null doc_id comes first.
+    shuffled once and no window spans all rows. ``derive`` adds columns that are computed once for a row before it is
+    shuffled, and besides for the copied rows only. Rows of equal doc_id follow each other by text; a null doc_id comes first.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     ids = docs.select(key.cast("double").alias("key"))
@@ -102,9 +103,10 @@ def with_next(docs: DataFrame, columns: list[str], bucket: int = BUCKET) -> Data
     order = Window.orderBy("_bucket")
     around = firsts.select(F.col("_first"), F.coalesce(F.lag("_bucket").over(order), F.max("_bucket").over(Window.partitionBy())).alias("_before"))
     ghosts = dealt.withColumn("_first", key).join(F.broadcast(around), "_first")
-    ghosts = ghosts.groupBy("_before").agg(F.min_by(F.struct(*columns), F.struct(key, F.col("text"))).alias("_row"))
-    ghosts = ghosts.select(F.col("_before").alias("_bucket"), F.lit(1).alias("_ghost"), *[F.col("_row")[c].alias(c) for c in columns])
-    rows = dealt.select("_bucket", F.lit(0).alias("_ghost"), *columns).unionByName(ghosts)
+    ghosts = ghosts.groupBy("_before").agg(F.min_by(F.struct(*docs.columns), F.struct(key, F.col("text"))).alias("_row"))
+    ghosts = derive(ghosts.select(F.col("_before").alias("_bucket"), F.lit(1).alias("_ghost"), *[F.col("_row")[c].alias(c) for c in docs.columns]))
+    rows = derive(dealt.select("_bucket", F.lit(0).alias("_ghost"), *docs.columns))
+    rows = rows.select("_bucket", "_ghost", *columns).unionByName(ghosts.select("_bucket", "_ghost", *columns))
     following = Window.partitionBy("_bucket").orderBy("_ghost", key, "text")
     for c in columns[1:]:
         rows = rows.withColumn(f"next_{c}", F.lead(c).over(following))
@@ -120,7 +122,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(anchors(docs, "text", "anchors"), ["doc_id", "text", "anchors"])
+    rows = with_next(docs, ["doc_id", "text", "anchors"], derive=lambda df: anchors(df, "text", "anchors"))
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - length(text) div 2)"), F.expr("substring(next_text, 1, length(text) div 2)"))
     rows = anchors(rows.withColumn("edited", edited), "edited", "edited_anchors")
