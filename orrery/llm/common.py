@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 ROWS_AT_ONCE = 1000  # texts that pass between an executor and Python together
 
 
+ROWS_OF_A_FILE, LEAST_FILES = 200_000, 6
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
@@ -36,9 +39,15 @@ def cut(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     return put(df, spark, name)[0]
 
 
-def put(df: DataFrame, spark: SparkSession, name: str) -> tuple[DataFrame, str]:
-    """As ``cut``, with the path of the table, so that ``drop`` can remove it once nothing reads it."""
+def put(df: DataFrame, spark: SparkSession, name: str, rows: int | None = None) -> tuple[DataFrame, str]:
+    """As ``cut``, with the path of the table, so that ``drop`` can remove it once nothing reads it.
+
+    Where the most ``rows`` it can have are known, it becomes a file for each ROWS_OF_A_FILE of them, at least a few:
+    rounds over narrow tables would else write a small file for each partition of a shuffle.
+    """
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // ROWS_OF_A_FILE)))
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -22,25 +22,25 @@ def looked_up(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) ->
     return rest.unionByName(rows.join(hot, keys))
 
 
-def components(edges: DataFrame, spark: SparkSession, name: str = "stars") -> DataFrame:
+def components(edges: DataFrame, spark: SparkSession, name: str = "stars", rows: int | None = None) -> DataFrame:
     """(a, root) of every vertex that has an edge in ``edges`` (a, b) and isn't the least of its component.
 
     Each round hangs the larger neighbours of a vertex on its least neighbour and then its smaller ones, so the
     number of rounds grows with the logarithm of a component's size, and no task holds a component. Rounds are cut
-    to the shared folder; they end when the edges don't change, which then are stars.
+    to the shared folder; they end when the edges don't change, which then are stars. ``rows`` are the most edges there are.
     """
     tell = lambda e: e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    now, path = put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), spark, name)
+    now, path = put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), spark, name, rows)
     before = tell(now)
     while before["n"]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n")).select("a", F.least("a", "m").alias("m"), "_n")
         large = looked_up(both, least, ["a"], 2 * before["n"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large, between = put(large, spark, name)
+        large, between = put(large, spark, name, 2 * before["n"])
         # Here a vertex has smaller neighbours only, so no key is a hub that many vertices hang on.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        then, new = put(small, spark, name)
+        then, new = put(small, spark, name, 2 * before["n"])
         drop(spark, path, between)
         now, path, told = then, new, tell(then)
         if tuple(told) == tuple(before):

@@ -147,15 +147,15 @@ def link(docs: DataFrame, spark: SparkSession, percent: int = 85) -> DataFrame:
     signed, signed_at = put(rows.withColumn("x", _sign("text")).select("doc_id", "x.*"), spark, "signed")
     some = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     reps = some.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("_n"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    reps, reps_at = put(reps, spark, "reps")
+    reps, reps_at = put(reps, spark, "reps", signed.count())
     size = reps.agg(F.count(F.lit(1)).alias("reps"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()
     posted = reps.select("rep", F.explode("keys").alias("key"))
     heads = posted.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("_n")).where("head < last").drop("last")
     edges = looked_up(posted, heads, ["key"], size["reps"] * (COORDINATES // WIDTH)).where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
-    coarse = components(edges, spark, "clusters")
+    coarse = components(edges, spark, "clusters", size["reps"] * (COORDINATES // WIDTH))
     roots = coarse.select(F.col("root").alias("rep"), F.col("root").alias("cluster")).distinct()
     sizes = reps.groupBy("rep").agg(F.sum("n").alias("n"))
-    member, _ = put(coarse.select(F.col("a").alias("rep"), F.col("root").alias("cluster")).unionByName(roots).join(sizes.hint("merge"), "rep"), spark, "members")
+    member, _ = put(coarse.select(F.col("a").alias("rep"), F.col("root").alias("cluster")).unionByName(roots).join(sizes.hint("merge"), "rep"), spark, "members", size["reps"])
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
     dealt = looked_up(member, member.groupBy("cluster").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("_n")), ["cluster"], size["reps"])
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -180,7 +180,7 @@ def link(docs: DataFrame, spark: SparkSession, percent: int = 85) -> DataFrame:
     roots = components(links, spark, "links").select(F.col("a").alias("rep"), "root")
     named = reps.join(roots.hint("merge"), "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("root"), "last", "rep", "_n")
     # Only texts that several rows hold, or that are linked, are looked up; a third of all rows may hold one of them.
-    named, _ = put(named.where("last > rep or root <> rep").select("hi", "lo", "root", "_n"), spark, "named")
+    named, _ = put(named.where("last > rep or root <> rep").select("hi", "lo", "root", "_n"), spark, "named", size["reps"])
     drop(spark, reps_at)
     base = signed.select("doc_id", "n_shingles", "hi", "lo")
     free = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
@@ -194,7 +194,7 @@ def without_copies(docs: DataFrame, spark: SparkSession, percent: int = 85) -> D
     one whose text has the least hash. Rows without doc_id stay."""
     found = link(docs, spark, percent)
     stays = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    stays, _ = put(stays, spark, "stays")
+    stays, _ = put(stays, spark, "stays", docs.count())
     kept = docs.join(stays.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if stays.where("rows > 1").limit(1).count():  # repeated rows of one id
         rows = kept.select(F.struct(*docs.columns).alias("row"))
