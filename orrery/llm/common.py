@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 import tempfile
 import time
@@ -69,6 +70,19 @@ def trim() -> None:
         pass
 
 
+CLEAR: list = []  # what empties the caches of the operators that a worker has loaded
+_owner: list = [None]
+
+
+def owned(name: str) -> None:
+    """Tell that a Python worker works for an operator now: what it kept for another one is dropped."""
+    if _owner[0] != name:
+        for clear in CLEAR:
+            clear()
+        _owner[0] = name
+        trim()
+
+
 def vectorised(schema: str):
     """A pandas UDF of a function of series; it is made when it is called, as its schema is read by a session.
 
@@ -77,11 +91,18 @@ def vectorised(schema: str):
     """
 
     def called(f):
+        @functools.wraps(f)
+        def run(*batch):
+            owned(f.__module__)
+            out = f(*batch)
+            trim()
+            return out
+
         def on(*columns):
             conf, key = SparkSession.active().conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
             if not 0 < int(conf.get(key, "10000")) <= ROWS_AT_ONCE:
                 conf.set(key, str(ROWS_AT_ONCE))
-            return F.pandas_udf(f, schema)(*columns)
+            return F.pandas_udf(run, schema)(*columns)
 
         return on
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import drop, put, table, trim, vectorised
+from orrery.llm.common import drop, owned, put, table, trim, vectorised
 from orrery.llm.graphs import components, looked_up
 from orrery.llm.words import bounds, hashes, rolled, words_of
 
@@ -164,6 +164,7 @@ def link(docs: DataFrame, spark: SparkSession, percent: int = 85) -> DataFrame:
     texts = rows.join(dealt.hint("merge"), rows["doc_id"] == dealt["rep"]).select("rep", "cluster", "i", "j", "block", "text")
 
     def confirm(key, part: pd.DataFrame) -> pd.DataFrame:
+        owned(__name__)
         part = part.drop_duplicates(["rep", "text"]).sort_values("rep", kind="stable")
         sets, ids = [shingles(t) for t in part["text"]], part["rep"].to_numpy()
         some = np.flatnonzero([len(s) > 0 for s in sets])

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import cut, table, vectorised
+from orrery.llm.common import cut, owned, table, vectorised
 from orrery.llm.tokens import encoder, vocabulary
 
 CAPACITY = 2048
@@ -167,6 +167,7 @@ def _blocks(items: DataFrame, spark: SparkSession, capacity: int, level: int, na
     """``items`` with the bin of each piece in its block, and how full that bin is."""
 
     def gather(key, rows: pd.DataFrame) -> pd.DataFrame:
+        owned("islands")
         rows = rows.sort_values(ORDER, kind="stable")
         lengths = rows["length"].to_numpy().astype("<i4").tobytes()
         return pd.DataFrame({"block": [key[0]] * ISLANDS, "island": range(ISLANDS), "lengths": [lengths] * ISLANDS})
@@ -200,6 +201,7 @@ def _blocks(items: DataFrame, spark: SparkSession, capacity: int, level: int, na
     best = states.groupBy("block").agg(F.min_by("elite", F.struct("n_bins", "island")).alias("elite"))
 
     def assign(key, rows: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
+        owned("islands")
         rows = rows.sort_values(ORDER, kind="stable").reset_index(drop=True)
         bins, room = pickle.loads(chosen["elite"].iloc[0])
         length = rows["length"].tolist()

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import cut, vectorised
+from orrery.llm.common import CLEAR, cut, vectorised
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -126,6 +126,9 @@ def evidence(token: str) -> tuple[str, float] | None:
     return (name, joint(written)) if joint(random) < UNLIKE else None
 
 
+CLEAR += [evidence.cache_clear, _binomial.cache_clear]
+
+
 def length_class(n: int) -> int:
     """Classes of lengths, four to each doubling."""
     return int(4 * math.log2(n))

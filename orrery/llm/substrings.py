@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import drop, put, table, tidy, trim, vectorised
+from orrery.llm.common import drop, owned, put, table, tidy, trim, vectorised
 from orrery.llm.words import bounds, hashes, rolled, sliding, words_of
 
 WINDOW, PHRASE = 13, 4
@@ -109,6 +109,7 @@ ANCHORS = "range int, shard int, keys binary, several binary, texts binary"
 
 def _anchors(bits: int):
     def run(key, docs: pd.DataFrame, copies: pd.DataFrame) -> pd.DataFrame:
+        owned(__name__)
         own, _ = _own(docs, copies)
         parts = [anchors_of(lines) for lines in _chunks([line for _, _, line in own])]
         rows = []
@@ -180,6 +181,7 @@ WINDOWS = "range int, shard int, doc_id long, rid long, at binary, a binary, b b
 
 def _scan(bits: int):
     def run(key, docs: pd.DataFrame, feed: pd.DataFrame) -> pd.DataFrame:
+        owned(__name__)
         own, gone = _own(docs, feed[feed["phrases"].isna()])
         # A row without windows says that all words go. Numbers are never null: among nulls they would become floats.
         rows = [(OWN, int(key[0]), doc_id, rid, None, None, None, None, None) for doc_id, rid in gone]

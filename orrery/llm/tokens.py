@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import table, vectorised
+from orrery.llm.common import CLEAR, table, vectorised
 from orrery.llm.words import hashes, utf8
 
 SPACE = re.compile(r"[ \t\n\r]+")
@@ -261,6 +261,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+CLEAR.append(encoder.cache_clear)
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 

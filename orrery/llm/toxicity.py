@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import drop, put, table, vectorised
+from orrery.llm.common import drop, owned, put, table, vectorised
 from orrery.llm.langid import fold
 
 SAMPLE = 20_000  # labelled rows that are learned from, at most
@@ -205,6 +205,7 @@ def _counted(rows: DataFrame, only: set[str] | None, name: str) -> DataFrame:
     """Of each word and stem (or of ``only`` some), in how many rows it occurs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owned(__name__)
         for batch in batches:
             n: Counter = Counter()
             for t in batch["text"]:
