@@ -35,6 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def files_for(rows: int) -> int:
+    """A file for each ROWS_OF_A_FILE of narrow rows, at least a few."""
+    return max(LEAST_FILES, -(-rows // ROWS_OF_A_FILE))
+
+
 def cut(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: later stages start from files."""
     return put(df, spark, name)[0]
@@ -48,7 +53,7 @@ def put(df: DataFrame, spark: SparkSession, name: str, rows: int | None = None)
     """
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if rows is not None:
-        df = df.coalesce(max(LEAST_FILES, -(-rows // ROWS_OF_A_FILE)))
+        df = df.coalesce(files_for(rows))
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

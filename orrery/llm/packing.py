@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import cut, owned, table, vectorised
+from orrery.llm.common import cut, files_for, owned, table, vectorised
 from orrery.llm.tokens import encoder, vocabulary
 
 CAPACITY = 2048
@@ -225,8 +225,10 @@ def pack(docs: DataFrame, spark: SparkSession, path: str | None = None, capacity
     A null or empty text is one piece, the end mark; a null doc_id stays null. Ties and repeated rows are pieces like
     any other; extra columns go, whatever their names; an empty table gives an empty one.
     """
-    # A doc_id goes through Python as a string: a null would make floats of the others.
-    cut_up = cut(pieces(docs, path, capacity).withColumn("doc_id", F.col("doc_id").cast("string")), spark, "pieces")
+    # A doc_id goes through Python as a string: a null would make floats of the others. Pieces are narrow rows, and an
+    # executor may start a process for each file, so the many partitions of the texts are gathered into few files.
+    found = pieces(docs, path, capacity).withColumn("doc_id", F.col("doc_id").cast("string"))
+    cut_up = cut(found.repartition(files_for(docs.count())), spark, "pieces")
     columns = [*ORDER, "length"]
     whole = cut_up.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     done, rest, level = [whole], cut_up.where(F.col("length") < capacity).select(*columns), 0

@@ -42,7 +42,7 @@ CLASS[list(range(0x30, 0x3A))] = DIGIT
 CLASS[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27]] = MARK
 CLASS[0xC3], CLASS[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = LEAD, TAIL
 SMALL = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
-CHUNK = 1 << 21  # bytes of texts that are cut together
+CHUNK = 1 << 19  # bytes of texts that are cut together; each takes about 45 more while they are
 SLOTS = 1 << 20  # of the table of known fragments
 STORED = 3_000_000  # ids that the table holds, at most
 

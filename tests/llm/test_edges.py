@@ -200,3 +200,30 @@ def test_grammar_composes():
     assert toxicity.settings("tny" "oi.")[0][1][:2] == ("i", True)
     assert toxicity.settings("roi.i.") == [[("i", False, True, False)], [("i", False, False, False)]]
     assert toxicity.settings("yi.") == [[("i", False, False, True)]]
+
+
+def test_pieces_of_many_partitions_become_few_files(spark, tmp_path):
+    import glob
+
+    from orrery.llm import common
+
+    docs = spark.createDataFrame([(i, f"words of {i}") for i in range(200)], "doc_id long, text string").repartition(40)
+    before = set(glob.glob(f"{common.shared_dir(spark).removeprefix('file:')}/pieces-*"))
+    assert packing.pack(docs, spark).count() == 200
+    (made,) = set(glob.glob(f"{common.shared_dir(spark).removeprefix('file:')}/pieces-*")) - before
+    assert 0 < len(glob.glob(f"{made}/part-*")) <= common.LEAST_FILES
+
+
+def test_memory_while_texts_are_encoded():
+    import tracemalloc
+
+    e = tokens.encoder(tokens.vocabulary())
+    texts = ["the same words of one text again, and others. " * 200] * 500
+    e.many(texts[:1])
+    tracemalloc.start()
+    try:
+        ids = e.many(texts)
+        peak = tracemalloc.get_traced_memory()[1] - sum(x.nbytes for x in ids)
+    finally:
+        tracemalloc.stop()
+    assert peak < 50_000_000
